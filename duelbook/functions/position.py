@@ -15,25 +15,24 @@ def with_position(
     ``bucket`` columns lead the order and cut it into many small pieces.  Rows are counted per
     bucket (combined before the shuffle), the counts, one row per bucket, are summed up in
     order, and only the rows of one bucket are ranked together.  ``size`` adds the group's row
-    count under that name.
+    count under that name.  Group and bucket columns must not be NULL.
     """
     group = group or []
     keys = group + bucket
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     running = Window.partitionBy(*group).orderBy(*bucket)
     offsets = counts.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
+        *keys,
         (F.sum("_rows").over(running) - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(Window.partitionBy(*group)).alias("_size"),
     )
-    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     in_bucket = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     ranked = df.withColumn("_in_bucket", in_bucket)
-    joined = ranked.join(offsets, match, "inner")
+    joined = ranked.join(offsets, keys)  # same keys as the ranking: no further shuffle of the rows
     out = joined.withColumn(name, (F.col("_before") + F.col("_in_bucket")).cast("long"))
     if size:
         out = out.withColumn(size, F.col("_size"))
-    return out.drop("_before", "_size", "_in_bucket", *[f"_{k}" for k in keys])
+    return out.drop("_before", "_size", "_in_bucket", "_rows")
 
 
 def md5_rank_key(seed, *columns: str) -> Column:
@@ -47,8 +46,6 @@ def spread(value: str, group: list[str], df: DataFrame, pieces: int = 256) -> Da
     Used as a further bucket where one group (a date, say) may hold a large share of all rows.
     """
     ends = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    ends = ends.select(*[F.col(g).alias(f"_{g}") for g in group], "_lo", "_hi")
-    on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
     width = F.col("_hi") - F.col("_lo") + 1
     piece = F.floor((F.col(value) - F.col("_lo")) * pieces / width)
-    return df.join(ends, on).withColumn("_piece", piece).drop("_lo", "_hi", *[f"_{g}" for g in group])
+    return df.join(ends, group).withColumn("_piece", piece).drop("_lo", "_hi")

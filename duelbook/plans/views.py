@@ -106,12 +106,25 @@ select concat('Player#', lpad(cast(user_id as string), 9, '0')) as player,
 from events where user_id % 10 <> 0 group by user_id
 """
 
+# Has blanks to trim, identities, 2-cycles and chains; some players are not listed.
 ALIASES_V = """
-select 'Player#000000001' as old_name, ' Player#000000002' as new_name
-union all select 'Player#000000003', 'Player#000000004'
-union all select 'Player#000000004', 'Player#000000003'
-union all select 'Player#000000005', 'Player#000000001'
-union all select 'Player#000000006', 'Player#000000006'
+select concat('Player#', lpad(cast(user_id as string), 9, '0')) as old_name,
+       concat(case when user_id % 3 = 0 then ' ' else '' end, 'Player#', lpad(cast(
+         case user_id % 4 when 0 then user_id when 1 then user_id + 1 when 2 then user_id - 1 else user_id + 2 end
+         as string), 9, '0')) as new_name
+from events where user_id % 7 <> 0 group by user_id
+"""
+
+# Pairings to score: each event with the one before it, the neighbours that did not meet.
+PAIRINGS_V = """
+select a.event_id as query_id,
+       case when a.event_id % 97 = 1 then concat('Unknown#', cast(a.user_id as string))
+            else concat('Player#', lpad(cast(a.user_id as string), 9, '0')) end as player1,
+       concat('Player#', lpad(cast(b.user_id as string), 9, '0')) as player2,
+       case a.event_type when 'click' then 'Clay' when 'purchase' then 'Grass' else 'Hard' end as surface,
+       cast(cast(b.ts as date) + interval 2 day as date) as tourney_date
+from events a join events b on b.event_id = a.event_id + 1
+where a.event_id % 2 = 1 and a.user_id <> b.user_id
 """
 
 ODDS_PAGES_V = """
@@ -189,6 +202,7 @@ DUCK_VIEWS = {
     "players_v": PLAYERS_V,
     "rankings_v": RANKINGS_V,
     "aliases_v": ALIASES_V,
+    "pairings_v": PAIRINGS_V,
     "odds_pages_v": ODDS_PAGES_V,
     "name_queries_v": NAME_QUERIES_V,
     "rated_ev": DUCK_RATED_EV,
@@ -223,7 +237,8 @@ SPARK_VIEWS = {
     "contests_li": (CONTESTS_LI, ["lineitem"]),
     "players_v": (PLAYERS_V, ["events"]),
     "rankings_v": (RANKINGS_V, ["events"]),
-    "aliases_v": (ALIASES_V, []),
+    "aliases_v": (ALIASES_V, ["events"]),
+    "pairings_v": (PAIRINGS_V, ["events"]),
     "odds_pages_v": (ODDS_PAGES_V, ["contests_ev"]),
     "name_queries_v": (NAME_QUERIES_V, ["part"]),
 }
@@ -238,5 +253,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, sources = SPARK_VIEWS[name]
     inputs = {s: view(spark, sf_dir, s) if s in SPARK_VIEWS else table(spark, sf_dir, s) for s in sources}
     for source in inputs:
-        text = text.replace(f"from {source}", "from {" + source + "}")
+        for word in ("from", "join"):
+            text = text.replace(f"{word} {source}", word + " {" + source + "}")
     return spark.sql(text, **inputs)
