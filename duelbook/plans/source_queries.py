@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from duelbook.functions import clean, names
 from duelbook.operators.features import profile
+from duelbook.operators.history import h2h, history_view
+from duelbook.operators.perspectives import perspectives
 from duelbook.operators.rating_tables import (
     active_players, player_history, player_ratings, player_table, rating_rows, rating_series, year_end_snapshots,
 )
@@ -167,7 +170,7 @@ select page_id, pair[1] as player1, pair[2] as player2,
        case when len(odds) = 2 and odds[1] is not null and odds[2] is not null then odds[1] end as odd1,
        case when len(odds) = 2 and odds[1] is not null and odds[2] is not null then odds[2] end as odd2
 from c where len(pair) = 2
-""".replace("with t as", "select * from (with t as", 1) + ")", "odds_pages_v")
+""", "odds_pages_v")
 def a10(spark, sf):
     return extract_odds(view(spark, sf, "odds_pages_v"))
 
@@ -254,9 +257,8 @@ s as (select match_num, tourney_date, surface, winner_id as id, winner_surface_e
 select name, surface, cast(tourney_date as string) as tourney_date, round(elo, 6) as surface_elo,
        row_number() over (partition by name, surface order by s.tourney_date, match_num) as axis_position
 from ids join s on s.id = ids.id
-""".replace("with ids", "select * from (with ids", 1) + ")", "rated_ev")
+""", "rated_ev")
 def b6(spark, sf):
-    from pyspark.sql import Window
     rows = player_history(rated(spark, sf)).where(F.col("surface").isNotNull())
     place = F.row_number().over(Window.partitionBy("name", "surface").orderBy("tourney_date", "match_num"))
     return rows.select("name", "surface", day("tourney_date").alias("tourney_date"), r6("surface_elo").alias("surface_elo"),
@@ -303,7 +305,6 @@ select match_num, surface, target, minutes, rank from (
 where surface is not null and minutes is not null and rank is not null
 """, "contests_ev")
 def c5(spark, sf):
-    from duelbook.operators.perspectives import perspectives
     rows = perspectives(contests(spark, sf), "name", ["match_num", "surface", "minutes"])
     return clean.valid_matches(rows.select(
         "match_num", "surface", "target", big("minutes").alias("minutes"), big("player_rank").alias("rank")))
@@ -358,7 +359,7 @@ s as (select query_name as query, name, 1 - levenshtein(query_name, name) / grea
       from name_queries_v, n),
 r as (select *, row_number() over (partition by query order by score desc, name desc) as rn from s where score >= cast(0.6 as double))
 select query, name, round(score, 6) as score from r where rn = 1
-""".replace("with n as", "select * from (with n as", 1) + ")", "name_queries_v")
+""", "name_queries_v")
 def c11_levenshtein(spark, sf):
     asked, known = _name_tables(spark, sf)
     return names.closest_name(asked, known, 0.6, "levenshtein").select("query", "name", r6("score").alias("score"))
@@ -403,14 +404,10 @@ def c15(spark, sf):
 
 
 @query("c16_slam_label", """
-select match_num, concat(cast(year(tourney_date) as string), ' ', case tourney_name when 'Wimbledon' then 'Wimb' when 'US Open' then 'USO'
-       when 'Australian Open' then 'AO' when 'Roland Garros' then 'RG' end) as dummy,
-       case when tourney_name = 'Open' then null else concat(cast(year(tourney_date) as string), ' ',
+select match_num, case when tourney_name = 'Open' then null else concat(cast(year(tourney_date) as string), ' ',
          case tourney_name when 'Wimbledon' then 'Wimb' when 'US Open' then 'USO' when 'Australian Open' then 'AO'
          when 'Roland Garros' then 'RG' end) end as label from contests_ev
-""".replace("""concat(cast(year(tourney_date) as string), ' ', case tourney_name when 'Wimbledon' then 'Wimb' when 'US Open' then 'USO'
-       when 'Australian Open' then 'AO' when 'Roland Garros' then 'RG' end) as dummy,
-       """, ""), "contests_ev")
+""", "contests_ev")
 def c16(spark, sf):
     return contests(spark, sf).select("match_num", clean.slam_label(F.col("tourney_date"), F.col("tourney_name")).alias("label"))
 
@@ -441,8 +438,7 @@ def c19(spark, sf):
 with s as (select winner_name as a, loser_name as b, 1 as w from contests_li union all select loser_name, winner_name, 0 from contests_li),
 h as (select a, b, sum(w) as w, sum(1 - w) as l from s group by a, b)
 select a as player, b as opponent, concat(cast(w as bigint), '-', cast(l as bigint), ' (', cast(round_even(w * 100.0::double / (w + l), 0) as bigint), '% para ', a, ')') as h2h from h
-""".replace("with s as", "select * from (with s as", 1) + ")", "contests_li")
+""", "contests_li")
 def c20(spark, sf):
-    from duelbook.operators.history import h2h, history_view
     record = h2h(history_view(view(spark, sf, "contests_li")))
     return record.select("player", "opponent", clean.format_h2h(F.col("wins"), F.col("losses"), F.col("player")).alias("h2h"))

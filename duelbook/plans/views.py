@@ -229,6 +229,8 @@ def duck_sql(views: str, sql: str, extra: str = "") -> str:
         parts.append(f"{name} as materialized ({DUCK_VIEWS[name]})")
     if extra:
         parts.append(extra)
+    if sql.lstrip().startswith("with "):
+        sql = f"select * from ({sql})"
     return f"with recursive {', '.join(parts)}\n{sql}"
 
 
