@@ -1,38 +1,12 @@
-"""Row positions in a total order, without sorting a whole table in one task."""
+"""Positions in a total order, found without sorting or shuffling the table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def with_position(
-    df: DataFrame, bucket: list[str], order: list, group: list[str] | None = None,
-    name: str = "position", size: str | None = None,
-) -> DataFrame:
-    """Add the 0-based position of each row inside ``group`` (the whole table by default).
-
-    ``bucket`` columns lead the order and cut it into many small pieces.  Rows are counted per
-    bucket (combined before the shuffle), the counts, one row per bucket, are summed up in
-    order, and only the rows of one bucket are ranked together.  ``size`` adds the group's row
-    count under that name.  Group and bucket columns must not be NULL.
-    """
-    group = group or []
-    keys = group + bucket
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    running = Window.partitionBy(*group).orderBy(*bucket)
-    offsets = counts.select(
-        *keys,
-        (F.sum("_rows").over(running) - F.col("_rows")).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(*group)).alias("_size"),
-    )
-    in_bucket = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    ranked = df.withColumn("_in_bucket", in_bucket)
-    joined = ranked.join(offsets, keys)  # same keys as the ranking: no further shuffle of the rows
-    out = joined.withColumn(name, (F.col("_before") + F.col("_in_bucket")).cast("long"))
-    if size:
-        out = out.withColumn(size, F.col("_size"))
-    return out.drop("_before", "_size", "_in_bucket", "_rows")
+PIECES = 4096  # ranges counted per pass; also the most rows a pass hands to the driver
+SMALL = 1_000_000  # rows that may be sorted to read off the answer
 
 
 def md5_rank_key(seed, *columns: str) -> Column:
@@ -40,12 +14,56 @@ def md5_rank_key(seed, *columns: str) -> Column:
     return F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))))
 
 
-def spread(value: str, group: list[str], df: DataFrame, pieces: int = 256) -> DataFrame:
-    """Add ``_piece``: equal-width ranges of a whole-number column inside each group.
+def md5_number(key: Column) -> Column:
+    """The first 15 hex digits as a whole number: the same order as the text."""
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
+
+
+def key_at(df: DataFrame, order: list[str], position: int, small: int = SMALL, pieces: int = PIECES):
+    """The ``order`` values of the row at a 0-based position, all of them whole numbers.
+
+    Each pass counts the rows in equal ranges of a column, combined before the shuffle, and goes on
+    inside the range that holds the position.  Only order columns are read, and a key that most
+    rows share hands over to the next column.
+    """
+    df = df.select(*order)
+    for column in order:
+        while True:
+            ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("n")).first()
+            if ends.n <= small:
+                return df.orderBy(*order).offset(position).first()
+            if ends.lo == ends.hi:
+                break
+            width = -(-(ends.hi - ends.lo + 1) // pieces)
+            # whole-number division: doubles are not exact beyond 53 bits
+            piece = F.expr(f"(`{column}` - {ends.lo}L) div {width}L")
+            for row in sorted(df.groupBy(piece.alias("piece")).count().collect()):
+                if position < row["count"]:
+                    break
+                position -= row["count"]
+            first = ends.lo + row.piece * width
+            df = df.where(F.col(column).between(first, first + width - 1))
+    return df.orderBy(*order).offset(position).first()
+
+
+def label_by_cuts(df: DataFrame, order: list[str], cuts, labels: list[str], by: str | None = None, name: str = "set") -> DataFrame:
+    """Label rows by position: ``labels[i]`` up to the i-th cut, the last label beyond.
 
-    Used as a further bucket where one group (a date, say) may hold a large share of all rows.
+    ``cuts(n)`` gives the cut positions for ``n`` rows, counted per class of ``by``.  The cut rows'
+    keys are looked up first (a handful of values), then every row is labelled where it is.
     """
-    ends = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo") + 1
-    piece = F.floor((F.col(value) - F.col("_lo")) * pieces / width)
-    return df.join(ends, group).withColumn("_piece", piece).drop("_lo", "_hi")
+    key = F.struct(*order)
+    groups = [None] if by is None else [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
+    label = None
+    for group in groups:
+        part = df if group is None else df.where(F.col(by) == group)
+        n = part.count()
+        own = F.lit(labels[-1])
+        for cut, text in reversed(list(zip(cuts(n), labels))):
+            if cut >= n:
+                own = F.lit(text)
+            elif cut > 0:
+                at = key_at(part, order, cut)
+                own = F.when(key < F.struct(*[F.lit(at[c]).cast("long").alias(c) for c in order]), text).otherwise(own)
+        label = own if label is None else F.when(F.col(by) == group, own).otherwise(label)
+    return df.withColumn(name, label if label is not None else F.lit(labels[-1]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelbook.operators.history import (
@@ -185,5 +185,5 @@ def standardise(df: DataFrame, columns: list[str], fit_on: DataFrame | None = No
 
 def class_balance(df: DataFrame) -> DataFrame:
     counts = df.groupBy("target").agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("all_rows")).scalar()
+    total = F.sum("n").over(Window.partitionBy())  # over the class counts, a row per class
     return counts.select("target", "n", (F.col("n") / total).alias("share"))

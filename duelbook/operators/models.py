@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from duelbook.functions.clean import format_h2h
 from duelbook.functions.elo import expected_score
-from duelbook.functions.position import md5_rank_key, with_position
 from duelbook.operators.features import FEATURES, encode_surface, features_asof, standard_parameters, standardise
+from duelbook.operators.splits import even_folds
 from duelbook.schema import SURFACES
+from duelbook.session import cut_lineage
 
 # fixed values: settings of the published models.  Spark caps the depth at 30; a minimum of five
 # rows to split has no twin, two rows per leaf is the closest.
@@ -37,12 +38,12 @@ COLUMNS = FEATURES + [f"surface_{s}" for s in SURFACES]
 
 
 def with_class_weights(df: DataFrame, label: str = "target", name: str = "weight") -> DataFrame:
-    """n / (classes * n_c) per row; the per-class counts are two rows."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("all_rows"), F.count("*").alias("classes"))
-    per_class = counts.select(label, (
-        totals.select("all_rows").scalar() / (totals.select("classes").scalar() * F.col("_n"))).alias(name))
-    return df.join(per_class, label)
+    """n / (classes * n_c) per row; one aggregate, one row per class to the driver, no join."""
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    weight = F.lit(None).cast("double")
+    for value, n in counts.items():
+        weight = F.when(F.col(label) == value, sum(counts.values()) / (len(counts) * n)).otherwise(weight)
+    return df.withColumn(name, weight)
 
 
 def prepared(df: DataFrame, columns: list[str] = COLUMNS, parameters: dict | None = None) -> DataFrame:
@@ -133,13 +134,11 @@ def calibrate(
 
     Folds are even within each class, by md5 order.
     """
-    keyed = df.withColumn("_key", md5_rank_key(SEED, *identity)).withColumn("_bucket", F.substring("_key", 1, 4))
-    placed = with_position(keyed, ["_bucket"], ["_key", *identity], ["target"], "_pos").drop("_bucket", "_key")
-    folded = placed.withColumn("_fold", F.col("_pos") % folds).drop("_pos")
+    folded = cut_lineage(even_folds(df, identity, folds, SEED))
     parts = []
     for fold in range(folds):
-        bundle = train_forest(folded.where(F.col("_fold") != fold), preset, columns, balanced)
-        held = bundle.score(folded.where(F.col("_fold") == fold), "score")
+        bundle = train_forest(folded.where(F.col("fold") != fold), preset, columns, balanced)
+        held = bundle.score(folded.where(F.col("fold") == fold), "score")
         # equal scores become one weighted point before the curve is fitted
         points = held.groupBy("score").agg(F.avg("target").alias("label"), F.count("*").cast("double").alias("weight"))
         curve = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(points)
@@ -227,16 +226,12 @@ def classification_report(pred: DataFrame) -> DataFrame:
     return c.select(F.explode(lines).alias("v")).select("v.*")
 
 
-def evaluate(sets: dict[str, DataFrame]) -> DataFrame:
-    """Accuracy, F1 and row count per named set, from one grouped aggregate."""
-    named = None
-    for name, frame in sets.items():
-        part = frame.select(F.lit(name).alias("set"), "target", "prediction")
-        named = part if named is None else named.unionByName(part)
-    counts = named.groupBy("set").agg(*_confusion())
+def evaluate(pred: DataFrame, by: str = "set") -> DataFrame:
+    """Accuracy, F1 and row count per set, from one grouped aggregate."""
+    counts = pred.groupBy(by).agg(*_confusion())
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     return counts.select(
-        "set", n.alias("n"), _ratio(F.col("tp") + F.col("tn"), n).alias("accuracy"),
+        by, n.alias("n"), _ratio(F.col("tp") + F.col("tn"), n).alias("accuracy"),
         _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 

@@ -85,7 +85,9 @@ def _fold(bouts: DataFrame, state: DataFrame | None, k: float | None, start: flo
                 [pa.array(v, f.type) for v, f in zip(out, BOUT_ARROW)], schema=BOUT_ARROW
             )
 
-    ordered = rows.repartition("pool").sortWithinPartitions("pool", F.col("d").asc_nulls_first(), "r", "m")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed number: pools must not be packed into fewer tasks because their rows are narrow
+    ordered = rows.repartition(tasks, "pool").sortWithinPartitions("pool", F.col("d").asc_nulls_first(), "r", "m")
     return ordered.mapInArrow(walk, BOUT_SCHEMA)
 
 
@@ -132,8 +134,9 @@ def _relax_slice(views: DataFrame, k: float | None) -> DataFrame:
                 [pa.array(handed[f.name], f.type) for f in schema], schema=schema
             )
 
+    tasks = int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        ordered = views.repartition("pool", "player").sortWithinPartitions("pool", "player", "d", "r", "m")
+        ordered = views.repartition(tasks, "pool", "player").sortWithinPartitions("pool", "player", "d", "r", "m")
         views = cut_lineage(ordered.mapInArrow(walk, views.schema))
         if views.where("moved = 1").isEmpty():
             return views

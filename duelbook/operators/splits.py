@@ -2,41 +2,44 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelbook.functions.position import md5_rank_key, spread, with_position
+from duelbook.functions.position import label_by_cuts, md5_number, md5_rank_key
 from duelbook.schema import SURFACES
 
-# 4 hex digits of the md5: 65,536 even buckets, so the offsets stay one small table
-PREFIX = 4
-
-
-def _shuffled(df: DataFrame, identity: list[str], seed, by: str | None) -> DataFrame:
-    keyed = df.withColumn("_key", md5_rank_key(seed, *identity)).withColumn("_bucket", F.substring("_key", 1, PREFIX))
-    return with_position(keyed, ["_bucket"], ["_key", *identity], [by] if by else None, "_pos", "_n").drop("_bucket", "_key")
-
 
 def split_random(df: DataFrame, identity: list[str], test: float = 0.2, seed: int = 42, by: str | None = None) -> DataFrame:
-    """``set`` 'test' for the first ceil(test * n) rows in md5 order, per class with ``by``."""
-    cut = F.ceil(F.lit(float(test)) * F.col("_n"))
-    label = F.when(F.col("_pos") < cut, "test").otherwise("train")
-    return _shuffled(df, identity, seed, by).withColumn("set", label).drop("_pos", "_n")
+    """``set`` 'test' for the first ceil(test * n) rows in md5 order, per class with ``by``.
+
+    ``identity`` names whole-number columns that tell rows apart.
+    """
+    keyed = df.withColumn("_key", md5_number(md5_rank_key(seed, *identity)))
+    out = label_by_cuts(keyed, ["_key", *identity], lambda n: [math.ceil(test * n)], ["test", "train"], by)
+    return out.drop("_key")
 
 
 def split_temporal(df: DataFrame, by: str | None = None, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """Train, validation and test by position in (date, contest, winner first) order.
 
-    Cuts are int(train * n) and int(validation * n), per class with ``by``.  A date with a large
-    share of the rows is ranked in many contest-number ranges, not as one group.
+    Cuts are int(train * n) and int(validation * n), per class with ``by``.
     """
-    pieces = spread("match_num", ["tourney_date"], df)
-    placed = with_position(
-        pieces, ["tourney_date", "_piece"], ["match_num", F.desc("target")], [by] if by else None, "_pos", "_n").drop("_piece")
-    first = F.floor(F.lit(train) * F.col("_n"))
-    second = first + F.floor(F.lit(validation) * F.col("_n"))
-    label = F.when(F.col("_pos") < first, "train").when(F.col("_pos") < second, "validation").otherwise("test")
-    return placed.withColumn("set", label).drop("_pos", "_n")
+    def cuts(n):
+        return [int(train * n), int(train * n) + int(validation * n)]
+
+    keyed = df.withColumns({"_day": F.unix_date("tourney_date").cast("long"), "_lost": 1 - F.col("target")})
+    out = label_by_cuts(keyed, ["_day", "match_num", "_lost"], cuts, ["train", "validation", "test"], by)
+    return out.drop("_day", "_lost")
+
+
+def even_folds(df: DataFrame, identity: list[str], folds: int, seed: int = 42, by: str = "target") -> DataFrame:
+    """``fold`` 0 .. folds-1, even in size within each class, in md5 order."""
+    keyed = df.withColumn("_key", md5_number(md5_rank_key(seed, *identity)))
+    labels = [str(i) for i in range(folds)]
+    out = label_by_cuts(keyed, ["_key", *identity], lambda n: [n * i // folds for i in range(1, folds)], labels, by, "fold")
+    return out.withColumn("fold", F.col("fold").cast("int")).drop("_key")
 
 
 def sample_rows(df: DataFrame, identity: list[str], n: int = 8, seed: int = 1) -> DataFrame:

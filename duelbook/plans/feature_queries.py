@@ -12,7 +12,7 @@ from duelbook.plans.catalog import big, day, query, r6
 from duelbook.plans.history_queries import (
     BEFORE, DAILY_ELO, PERSP, RPERSP, SHOW_FEATURES_SQL, pairings, persp, show_features,
 )
-from duelbook.plans.source_queries import PLAYER_RATINGS_CTE, contests, rated
+from duelbook.plans.source_queries import PLAYER_RATINGS_CTE, contests, rated, stored_rated
 from duelbook.plans.views import view
 from duelbook.schema import ALL_SURFACES, SURFACES
 
@@ -45,7 +45,7 @@ def f1(spark, sf):
 
 @query("f2_features", f"select match_num, player, opponent, surface, target, {SHOW_FEATURES_SQL} from features", "rated_ev", ASOF_FEATURES)
 def f2(spark, sf):
-    return show_features(feats.features(rated(spark, sf)), *KEYS)
+    return show_features(feats.features(stored_rated(spark, sf)), *KEYS)
 
 
 @query("f3_features_full", f"""
@@ -61,7 +61,7 @@ f as (select a.match_num, a.player, a.opponent, a.surface, a.win::bigint as targ
 select match_num, player, opponent, surface, target, {SHOW_FEATURES_SQL} from f
 """, "rated_ev", RPERSP)
 def f3(spark, sf):
-    return show_features(feats.features(rated(spark, sf), "full"), *KEYS)
+    return show_features(feats.features(stored_rated(spark, sf), "full"), *KEYS)
 
 
 PROFILE_SQL = """
@@ -84,7 +84,7 @@ select f.match_num, player, f.target, {SHOW_FEATURES_SQL}, player_rank, opponent
 from features f join v on v.match_num = f.match_num and v.target = f.target
 """, "rated_ev", ASOF_FEATURES)
 def f4_joined(spark, sf):
-    matches = rated(spark, sf)
+    matches = stored_rated(spark, sf)
     df = feats.add_profile(feats.features(matches), matches)
     extra = ["player_rank", "opponent_rank", "player_ht", "opponent_ht"]
     shown = show_features(df, "match_num", "player", "target", *extra)
@@ -170,7 +170,7 @@ select match_num, target, round((player_elo - me) / se, 6) + 0.0::double as play
        round((elo_diff - md) / sd, 6) + 0.0::double as elo_diff from features, m
 """, "rated_ev", ASOF_FEATURES)
 def f11(spark, sf):
-    df = feats.features(rated(spark, sf)).select("match_num", "target", "player_elo", "h2h_matches", "elo_diff")
+    df = feats.features(stored_rated(spark, sf)).select("match_num", "target", "player_elo", "h2h_matches", "elo_diff")
     scaled = feats.standardise(df, ["player_elo", "h2h_matches", "elo_diff"])
     return scaled.select("match_num", "target", *[r6(c).alias(c) for c in ("player_elo", "h2h_matches", "elo_diff")])
 
@@ -180,7 +180,7 @@ with v as (select 1::bigint as target from rated_ev where surface is not null un
 select target, count(*) as n, round(count(*) / (select count(*) from v), 6) as share from v group by target
 """, "rated_ev")
 def f12(spark, sf):
-    df = feats.class_balance(feats.features(rated(spark, sf)))
+    df = feats.class_balance(feats.features(stored_rated(spark, sf)))
     return df.select("target", "n", r6("share").alias("share"))
 
 

@@ -8,7 +8,7 @@ from duelbook.operators import dominance, history
 from duelbook.operators.features import features_asof
 from duelbook.operators.perspectives import perspectives
 from duelbook.plans.catalog import big, day, query, r6
-from duelbook.plans.source_queries import contests, rated
+from duelbook.plans.source_queries import contests, rated, stored_rated
 from duelbook.plans.views import view
 from duelbook.schema import SURFACES
 
@@ -135,7 +135,7 @@ def show_features(df, *keys):
 
 @query("e8_features_asof", f"select query_id, {SHOW_FEATURES_SQL} from asof_features", "rated_ev pairings_v", RPERSP + "," + ASOF_SQL)
 def e8(spark, sf):
-    return show_features(features_asof(pairings(spark, sf), rated(spark, sf)), "query_id")
+    return show_features(features_asof(pairings(spark, sf), stored_rated(spark, sf)), "query_id")
 
 
 @query("e9_latest_date", """

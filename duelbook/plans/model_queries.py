@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from duelbook.operators import models
 from duelbook.operators.features import features, features_asof
 from duelbook.operators.splits import split_temporal
 from duelbook.plans.catalog import query, r6
 from duelbook.plans.feature_queries import ASOF_FEATURES
 from duelbook.plans.history_queries import ASOF_SQL, RPERSP, pairings
-from duelbook.plans.source_queries import rated
+from duelbook.plans.source_queries import stored_rated
 from duelbook.session import cut_lineage, scratch_path
 
 ELO_PRED = """
@@ -24,18 +22,17 @@ cells as (select count(*) filter (target = 1 and prediction = 1)::double as tp,
 
 
 def split_rows(spark, sf):
-    """Feature rows with their set, written once: training passes over them many times."""
-    return cut_lineage(split_temporal(features(rated(spark, sf)), by="target"))
+    """Feature rows with their set, stored: training passes over them many times."""
+    rows = cut_lineage(features(stored_rated(spark, sf)))
+    return split_temporal(rows, by="target")
 
 
 def elo_predictions(spark, sf):
-    rows = split_temporal(features(rated(spark, sf)), by="target")
-    return models.predictions(models.predict_elo(rows))
+    return models.predictions(models.predict_elo(split_rows(spark, sf)))
 
 
 def _sets(rows, model):
-    held = {s: rows.where(F.col("set") == s) for s in ("validation", "test")}
-    return models.evaluate({s: models.predictions(model.score(df)) for s, df in held.items()})
+    return models.evaluate(models.predictions(model.score(rows.where("set <> 'train'"))))
 
 
 @query("i1_forest")
@@ -56,7 +53,7 @@ select p.match_num, p.target, round((select sum(n) from c) / ((select count(*) f
 from pred p join c on c.target = p.target where p."set" = 'train'
 """, "rated_ev", ASOF_FEATURES + "," + ELO_PRED)
 def i3(spark, sf):
-    rows = split_temporal(features(rated(spark, sf)), by="target").where("set = 'train'")
+    rows = split_rows(spark, sf).where("set = 'train'")
     return models.with_class_weights(rows).select("match_num", "target", r6("weight").alias("weight"))
 
 
@@ -70,7 +67,7 @@ def i4(spark, sf):
 def i5(spark, sf):
     rows = split_rows(spark, sf)
     model = models.train_forest(rows.where("set = 'train'"), "small")
-    return models.predict(pairings(spark, sf), rated(spark, sf), model).select(
+    return models.predict(pairings(spark, sf), stored_rated(spark, sf), model).select(
         "query_id", "player1", "player2", "winner", "confidence", "player_elo", "opponent_elo", "elo_diff", "h2h",
         "player_surface_win_rate", "opponent_surface_win_rate")
 
@@ -80,7 +77,7 @@ with p as (select *, 1 / (1 + pow(10, (opponent_elo - player_elo) / 400)) as p f
 select query_id, round(p, 6) as p, case when p > 0.5 then player1 else player2 end as winner, round(greatest(p, 1 - p), 6) as confidence from p
 """, "rated_ev pairings_v", RPERSP + "," + ASOF_SQL)
 def i6(spark, sf):
-    scored = models.decide(models.predict_elo(features_asof(pairings(spark, sf), rated(spark, sf))))
+    scored = models.decide(models.predict_elo(features_asof(pairings(spark, sf), stored_rated(spark, sf))))
     return scored.select("query_id", r6("p").alias("p"), "winner", r6("confidence").alias("confidence"))
 
 
@@ -120,7 +117,7 @@ select "set", (tp + fp + fn + tn)::bigint as n, round((tp + tn) / (tp + fp + fn
 """, "rated_ev", ASOF_FEATURES + "," + ELO_PRED)
 def j5(spark, sf):
     rows = elo_predictions(spark, sf)
-    table = models.evaluate({s: rows.where(F.col("set") == s) for s in ("validation", "test")})
+    table = models.evaluate(rows.where("set <> 'train'"))
     return table.select("set", "n", r6("accuracy").alias("accuracy"), r6("f1").alias("f1"))
 
 

@@ -32,6 +32,11 @@ def rated(spark, sf):
     return surface_elo(contests(spark, sf))
 
 
+def stored_rated(spark, sf):
+    """Rated contests written and read back, for what reads them more than once."""
+    return files.read_rated(spark, files.write_table(rated(spark, sf), scratch_path(spark, "rated")))
+
+
 def overall(spark, sf):
     return overall_elo(contests(spark, sf), view(spark, sf, "players_v"))
 
