@@ -69,10 +69,15 @@ def _candidates(queries: DataFrame, names: DataFrame, cutoff: float) -> DataFram
     return pairs.where((F.col("letter") == first) & (common >= F.lit(cutoff / 2) * total - 1e-9)).select("query", "name")
 
 
-@F.pandas_udf("double")
-def _block_ratio(query: pd.Series, name: pd.Series) -> pd.Series:
+def _block_ratio() -> Column:
     """Matching-block similarity with the query as second sequence (it is not symmetric)."""
-    return pd.Series([SequenceMatcher(None, n, q).ratio() for q, n in zip(query, name)])
+
+    # made here, so that tasks receive it whole and need no copy of this package
+    @F.pandas_udf("double")
+    def ratio(query: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, n, q).ratio() for q, n in zip(query, name)])
+
+    return ratio("query", "name")
 
 
 def closest_name(queries: DataFrame, names: DataFrame, cutoff: float = 0.7, scorer: str = "blocks") -> DataFrame:
@@ -85,7 +90,7 @@ def closest_name(queries: DataFrame, names: DataFrame, cutoff: float = 0.7, scor
     if scorer == "levenshtein":
         score = 1 - F.levenshtein("query", "name") / F.greatest(F.length("query"), F.length("name"))
     else:
-        score = _block_ratio("query", "name")
+        score = _block_ratio()
     scored = pairs.withColumn("score", score).where(F.col("score") >= cutoff)
     best = scored.groupBy("query").agg(F.max(F.struct("score", "name")).alias("best"))
     return best.select("query", F.col("best.name").alias("name"), F.col("best.score").alias("score"))

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +35,6 @@ SLICE_ROWS = 200_000_000
 KEY = ["pool", "d", "r", "m"]  # pool, then the order inside it: date, round, contest number
 
 
-def _k_rule(k: float | None) -> Callable[[int], float]:
-    if k is not None:
-        return lambda played: k
-    return lambda played: CAREER_K / (played + CAREER_OFFSET) ** CAREER_SHAPE
-
-
-def _win_share(winner: float, loser: float) -> float:
-    return 1 / (1 + 10 ** ((loser - winner) / 400))
-
-
 BOUT_SCHEMA = "pool string, m long, w_pre double, l_pre double, w_post double, l_post double, w_n long, l_n long"
 BOUT_ARROW = pa.schema(
     [("pool", pa.string()), ("m", pa.int64())]
@@ -51,43 +43,100 @@ BOUT_ARROW = pa.schema(
 )
 
 
+def _career_k() -> Callable[[int], list[float]]:
+    """K by contests played, as a list long enough for ``n`` entries.
+
+    Task functions are made inside functions, so that tasks receive them whole and need no copy of
+    this package.
+    """
+    base, offset, shape = CAREER_K, CAREER_OFFSET, CAREER_SHAPE
+    table: list[float] = []
+
+    def upto(n: int) -> list[float]:
+        while len(table) < n:
+            table.append(base / (len(table) + offset) ** shape)
+        return table
+
+    return upto
+
+
+def _player(k: float | None, start: float):
+    """A function that plays one pool's next contests on its books and returns what they gave."""
+    upto = _career_k()
+
+    def fixed(ws, ls, elos, counts):
+        w_pre, l_pre, lost = [], [], []
+        book = elos.get
+        for w, l in zip(ws, ls):
+            a, b = book(w, start), book(l, start)
+            miss = 1 - 1 / (1 + 10 ** ((b - a) / 400))
+            elos[w] = a + k * miss
+            elos[l] = b + k * (0 - miss)
+            w_pre.append(a)
+            l_pre.append(b)
+            lost.append(miss)
+        w_pre, l_pre, lost = np.array(w_pre), np.array(l_pre), np.array(lost)
+        nothing = np.zeros(len(w_pre), dtype="int64")
+        return w_pre, l_pre, w_pre + k * lost, l_pre + k * (0 - lost), nothing, nothing
+
+    def career(ws, ls, elos, counts):
+        w_pre, l_pre, lost, w_n, l_n = [], [], [], [], []
+        book, played = elos.get, counts.get
+        ks = upto(max(counts.values(), default=0) + 2 * len(ws) + 1)
+        for w, l in zip(ws, ls):
+            a, b, i, j = book(w, start), book(l, start), played(w, 0), played(l, 0)
+            miss = 1 - 1 / (1 + 10 ** ((b - a) / 400))
+            elos[w] = a + ks[i] * miss
+            elos[l] = b + ks[j] * (0 - miss)
+            counts[w] = i + 1
+            counts[l] = j + 1
+            w_pre.append(a)
+            l_pre.append(b)
+            lost.append(miss)
+            w_n.append(i)
+            l_n.append(j)
+        w_pre, l_pre, lost, w_n, l_n = map(np.array, (w_pre, l_pre, lost, w_n, l_n))
+        table = np.array(ks)
+        return w_pre, l_pre, w_pre + table[w_n] * lost, l_pre + table[l_n] * (0 - lost), w_n, l_n
+
+    return fixed if k is not None else career
+
+
 def _fold(bouts: DataFrame, state: DataFrame | None, k: float | None, start: float) -> DataFrame:
     """Walk each pool in order inside one task; carried ratings come first as rows of their own."""
-    rows = bouts.select(*KEY, "w", "l", F.lit(None).cast("double").alias("elo"), F.lit(0).cast("long").alias("n"))
+    rows = bouts.select(*KEY, "w", "l", F.lit(0).alias("carried"), F.lit(0.0).alias("elo"), F.lit(0).cast("long").alias("n"))
     if state is not None:
-        carried = state.select(
-            "pool", *[F.lit(None).cast(bouts.schema[c].dataType).alias(c) for c in KEY[1:]],
-            F.col("player").alias("w"), F.col("player").alias("l"), "elo", "n",
-        )
-        rows = rows.unionByName(carried)
+        rows = rows.unionByName(state.select(
+            "pool", *[F.lit(None).cast(bouts.schema[c].dataType).alias(c) for c in ("d", "r")],
+            F.lit(0).cast("long").alias("m"), F.col("player").alias("w"), F.col("player").alias("l"),
+            F.lit(1).alias("carried"), "elo", "n"))
+    play, schema = _player(k, start), BOUT_ARROW
 
     def walk(batches):
-        k_of, pool, book = _k_rule(k), None, {}
+        pool, elos, counts = None, {}, {}
         for batch in batches:
-            out = [[] for _ in BOUT_ARROW]
-            columns = (batch.column(c).to_pylist() for c in ("pool", "m", "w", "l", "elo", "n"))
-            for this_pool, m, w, l, elo, n in zip(*columns):
-                if this_pool != pool:
-                    pool, book = this_pool, {}
-                if m is None:
-                    book[w] = (elo, n)
+            pools = batch.column("pool").dictionary_encode()
+            codes = pools.indices.to_numpy()
+            w, l, carried, elo, n = (batch.column(c).to_numpy() for c in ("w", "l", "carried", "elo", "n"))
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            for lo, hi in zip(edges, edges[1:]):
+                name = pools.dictionary[int(codes[lo])].as_py()
+                if name != pool:
+                    pool, elos, counts = name, {}, {}
+                mid = lo + int(carried[lo:hi].sum())
+                known = w[lo:mid].tolist()
+                elos.update(zip(known, elo[lo:mid].tolist()))
+                counts.update(zip(known, n[lo:mid].tolist()))
+                if mid == hi:
                     continue
-                w_pre, w_n = book.get(w, (start, 0))
-                l_pre, l_n = book.get(l, (start, 0))
-                share = _win_share(w_pre, l_pre)
-                w_post = w_pre + k_of(w_n) * (1 - share)
-                l_post = l_pre + k_of(l_n) * (0 - (1 - share))
-                book[w] = (w_post, w_n + 1)
-                book[l] = (l_post, l_n + 1)
-                for column, value in zip(out, (pool, m, w_pre, l_pre, w_post, l_post, w_n, l_n)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, f.type) for v, f in zip(out, BOUT_ARROW)], schema=BOUT_ARROW
-            )
+                made = play(w[mid:hi].tolist(), l[mid:hi].tolist(), elos, counts)
+                part = batch.slice(mid, hi - mid)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("pool"), part.column("m"), *map(pa.array, made)], schema=schema)
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a fixed number: pools must not be packed into fewer tasks because their rows are narrow
-    ordered = rows.repartition(tasks, "pool").sortWithinPartitions("pool", F.col("d").asc_nulls_first(), "r", "m")
+    ordered = rows.repartition(tasks, "pool").sortWithinPartitions("pool", F.desc("carried"), "d", "r", "m")
     return ordered.mapInArrow(walk, BOUT_SCHEMA)
 
 
@@ -111,28 +160,30 @@ def _relax_slice(views: DataFrame, k: float | None) -> DataFrame:
     swap |= {f"own_{s}": f"opp_{s}" for s in SIDE}
     swap |= {b: a for a, b in swap.items()}
 
+    upto = _career_k()
+
     def walk(batches):
-        k_of, who, elo, n = _k_rule(k), None, 0.0, 0
+        who, elo, n = None, 0.0, 0
         for batch in batches:
-            cols = {name: batch.column(i).to_pylist() for name, i in at.items()}
+            cols = {name: batch.column(i) for name, i in at.items()}
             pre, post, count, moved = [], [], [], []
-            rows = zip(*(cols[c] for c in ("pool", "player", "win", "start", "played", "opp_pre", "own_pre")))
-            for pool, player, win, first, played, other, before in rows:
+            wanted = [cols[c].to_pylist() for c in ("pool", "player", "win", "start", "played", "opp_pre", "own_pre")]
+            for pool, player, win, first, played, other, before in zip(*wanted):
                 if (pool, player) != who:
                     who, elo, n = (pool, player), first, played
                 pre.append(elo)
                 count.append(n)
                 moved.append(0 if elo == before else 1)
-                share = _win_share(elo, other) if win else _win_share(other, elo)
-                elo = elo + k_of(n) * ((1 - share) if win else (0 - (1 - share)))
+                step = k if k is not None else upto(n + 1)[n]
+                gap = (other - elo) if win else (elo - other)  # loser's minus winner's
+                lost = 1 - 1 / (1 + 10 ** (gap / 400))
+                elo = elo + step * (lost if win else (0 - lost))
                 n += 1
                 post.append(elo)
-            cols |= {"own_pre": pre, "own_post": post, "own_n": count, "moved": moved}
-            handed = {name: cols[swap.get(name, name)] for name in cols}
-            handed["win"] = [1 - win for win in cols["win"]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(handed[f.name], f.type) for f in schema], schema=schema
-            )
+            made = {"own_pre": pre, "own_post": post, "own_n": count, "moved": moved}
+            cols |= {name: pa.array(v, schema.field(name).type) for name, v in made.items()}
+            cols["win"] = pc.subtract(1, cols["win"])
+            yield pa.RecordBatch.from_arrays([cols[swap.get(f.name, f.name)] for f in schema], schema=schema)
 
     tasks = int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
@@ -217,7 +268,8 @@ def _attach(matches: DataFrame, rated: DataFrame, pool: Column, names: dict[str,
     narrow = rated.select(F.col("pool").alias("_pool"), F.col("m").alias("_m"),
                           *[F.col(a).alias(b) for a, b in names.items()])
     joined = matches.withColumn("_key", pool).join(
-        narrow, (F.col("_key") == F.col("_pool")) & (F.col("match_num") == F.col("_m")), how)
+        # contest number first: the join sorts by it, and numbers sort faster than texts
+        narrow, (F.col("match_num") == F.col("_m")) & (F.col("_key") == F.col("_pool")), how)
     return joined.drop("_key", "_pool", "_m")
 
 
@@ -235,7 +287,7 @@ def surface_elo(
         F.col("match_num").alias("m"), F.col("winner_id").alias("w"), F.col("loser_id").alias("l"))
     names = {"w_pre": "winner_surface_elo", "l_pre": "loser_surface_elo"}
     if post:
-        names |= {"w_post": "winner_elo_post", "l_post": "loser_elo_post", "w_n": "winner_played", "l_n": "loser_played"}
+        names |= {"w_post": "winner_elo_post", "l_post": "loser_elo_post"}
     return _attach(matches, rate(bouts, k, start, state, **sizes), pool, names, "left")
 
 
