@@ -46,27 +46,40 @@ def _letters(text: Column) -> Column:
 
 
 def _candidates(queries: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
-    """Every (query, name) that can reach ``cutoff``, found through shared letters.
+    """Every (query, name) that can reach ``cutoff``, found through length and shared letters.
 
     Similarity at or above c needs at least c * (la + lb) / 2 letters in common.  Two ordered
     letter lists with that much in common share a letter in their leading parts, so an equi-join on
-    those leading letters misses nothing.  Each pair is kept at its first shared letter only.
+    name length and leading letter misses nothing.  Each pair is kept at its first shared letter
+    only.
     """
-    def prepare(df, column):
+    slack = 1e-9
+    least_share = cutoff / (2 - cutoff)  # of the longer length, for the shorter one
+
+    def letters(df, column):
         text = df.select(column).where(F.length(column) > 0).distinct()
-        text = text.withColumn(f"{column}_letters", _letters(F.col(column)))
-        # fewest letters in common with any partner that can reach the cutoff
-        least = F.ceil(F.length(column) * F.lit(cutoff / (2 - cutoff)) - 1e-9)
-        lead = F.slice(f"{column}_letters", F.lit(1), (F.length(column) - least + 1).cast("int"))
-        return text.withColumn(f"{column}_lead", lead)
-
-    q = prepare(queries, "query").withColumn("letter", F.explode("query_lead"))
-    n = prepare(names, "name").withColumn("letter", F.explode("name_lead"))
-    pairs = q.join(n, "letter")
-    total = F.length("query") + F.length("name")
-    common = F.size(F.array_intersect("query_letters", "name_letters"))
-    first = F.element_at(F.array_intersect("query_lead", "name_lead"), 1)
-    return pairs.where((F.col("letter") == first) & (common >= F.lit(cutoff / 2) * total - 1e-9)).select("query", "name")
+        return text.select(column, F.length(column).alias(f"{column}_len"), _letters(F.col(column)).alias(f"{column}_letters"))
+
+    def lead(own, length, common):
+        return F.slice(own, F.lit(1), (F.col(length) - common + 1).cast("int"))
+
+    def needed(total):
+        return F.ceil(F.lit(cutoff / 2) * total - slack)
+
+    shortest = F.greatest(F.ceil(F.col("query_len") * least_share - slack), F.lit(1)).cast("int")
+    longest = F.floor(F.col("query_len") / least_share + slack).cast("int")
+    q = letters(queries, "query").withColumn("name_len", F.explode(F.sequence(shortest, longest)))
+    q = q.withColumn("common", needed(F.col("query_len") + F.col("name_len")))
+    q = q.withColumn("query_lead", lead("query_letters", "query_len", F.col("common")))
+    q = q.withColumn("letter", F.explode("query_lead"))
+    # a name's longest leading part is the one for its shortest possible query
+    n = letters(names, "name")
+    fewest = needed(F.col("name_len") + F.ceil(F.col("name_len") * least_share - slack))
+    n = n.withColumn("letter", F.explode(lead("name_letters", "name_len", fewest)))
+    shared = F.size(F.array_intersect("query_letters", "name_letters"))
+    first = F.get(F.array_intersect("query_lead", lead("name_letters", "name_len", F.col("common"))), F.lit(0))
+    pairs = q.join(n, ["letter", "name_len"])
+    return pairs.where((F.col("letter") == first) & (shared >= F.col("common"))).select("query", "name")
 
 
 def _block_ratio() -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from duelbook.functions import clean, names
@@ -259,15 +258,13 @@ def b4(spark, sf):
 with ids as (select winner_name as name, min_by(winner_id, match_num) as id from rated_ev group by 1),
 s as (select match_num, tourney_date, surface, winner_id as id, winner_surface_elo as elo from rated_ev where surface is not null
       union all select match_num, tourney_date, surface, loser_id, loser_surface_elo from rated_ev where surface is not null)
-select name, surface, cast(tourney_date as string) as tourney_date, round(elo, 6) as surface_elo,
-       row_number() over (partition by name, surface order by s.tourney_date, match_num) as axis_position
+select name, surface, cast(tourney_date as string) as tourney_date, match_num, round(elo, 6) as surface_elo
 from ids join s on s.id = ids.id
 """, "rated_ev")
 def b6(spark, sf):
     rows = player_history(rated(spark, sf)).where(F.col("surface").isNotNull())
-    place = F.row_number().over(Window.partitionBy("name", "surface").orderBy("tourney_date", "match_num"))
-    return rows.select("name", "surface", day("tourney_date").alias("tourney_date"), r6("surface_elo").alias("surface_elo"),
-                       big(place).alias("axis_position"))
+    ordered = rows.orderBy("name", "surface", "tourney_date", "match_num")
+    return ordered.select("name", "surface", day("tourney_date").alias("tourney_date"), "match_num", r6("surface_elo").alias("surface_elo"))
 
 
 # --- cleaning -------------------------------------------------------------------
