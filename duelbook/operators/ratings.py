@@ -28,10 +28,10 @@ from duelbook.functions.clean import round_order
 from duelbook.schema import (
     CAREER_K, CAREER_OFFSET, CAREER_SHAPE, FIXED_K, ROUND_ORDER, START_ELO,
 )
-from duelbook.session import cut_lineage, scratch_path
+from duelbook.session import Relay, scratch_path
 
 POOL_ROWS = 5_000_000
-SLICE_ROWS = 200_000_000
+SLICE_ROWS = (1_000_000, 1_000_000_000)  # the bounds of a time slice of a larger pool
 KEY = ["pool", "d", "r", "m"]  # pool, then the order inside it: date, round, contest number
 
 
@@ -151,7 +151,7 @@ VIEW_ARROW = [
 ]
 
 
-def _relax_slice(views: DataFrame, k: float | None) -> DataFrame:
+def _relax_slice(views: DataFrame, k: float | None, relay: Relay) -> DataFrame:
     """Rounds over one time slice until no rating moves; ``views`` has two rows per contest."""
     schema = pa.schema(VIEW_ARROW)
     at = {name: i for i, (name, _) in enumerate(VIEW_ARROW)}
@@ -188,13 +188,21 @@ def _relax_slice(views: DataFrame, k: float | None) -> DataFrame:
     tasks = int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         ordered = views.repartition(tasks, "pool", "player").sortWithinPartitions("pool", "player", "d", "r", "m")
-        views = cut_lineage(ordered.mapInArrow(walk, views.schema))
+        views = relay.keep(ordered.mapInArrow(walk, views.schema))
         if views.where("moved = 1").isEmpty():
             return views
 
 
-def _relax(bouts: DataFrame, state: DataFrame | None, k: float | None, start: float, slice_rows: int) -> DataFrame:
+def _slice_rows(bouts: DataFrame) -> int:
+    """About four contests per player and slice: few rounds each, and still worth a job."""
+    crowd = bouts.groupBy("pool").agg(F.approx_count_distinct("w").alias("n")).agg(F.max("n")).first()[0]
+    return max(SLICE_ROWS[0], min(SLICE_ROWS[1], 4 * crowd))
+
+
+def _relax(bouts: DataFrame, state: DataFrame | None, k: float | None, start: float, slice_rows: int | None) -> DataFrame:
     spark = bouts.sparkSession
+    slice_rows = slice_rows or _slice_rows(bouts)
+    rounds, states = Relay(spark, "rounds"), Relay(spark, "state")
     per_date = bouts.groupBy("pool", "d").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("pool").orderBy("d")) - F.col("rows")
     slices = per_date.select("pool", "d", F.floor(before / slice_rows).alias("slice"))
@@ -226,7 +234,7 @@ def _relax(bouts: DataFrame, state: DataFrame | None, k: float | None, start: fl
             opp_first.alias("opp_pre"), unknown.alias("opp_post"), uncounted.alias("opp_n"),
             F.lit(1).cast("long").alias("moved"),
         )
-        settled = _relax_slice(views, k)
+        settled = _relax_slice(views, k, rounds)
         settled.where("win = 1").select(
             "pool", "m",
             F.col("own_pre").alias("w_pre"), F.col("opp_pre").alias("l_pre"),
@@ -236,13 +244,13 @@ def _relax(bouts: DataFrame, state: DataFrame | None, k: float | None, start: fl
         last = settled.groupBy("pool", "player").agg(
             F.max_by(F.struct("own_post", "own_n"), F.struct("d", "r", "m")).alias("last"))
         last = last.select("pool", "player", F.col("last.own_post").alias("elo"), (F.col("last.own_n") + 1).alias("n"))
-        state = cut_lineage(state.join(last, ["pool", "player"], "left_anti").unionByName(last))
+        state = states.keep(state.join(last, ["pool", "player"], "left_anti").unionByName(last))
     return spark.read.parquet(done_path)
 
 
 def rate(
     bouts: DataFrame, k: float | None, start: float = START_ELO, state: DataFrame | None = None,
-    pool_rows: int = POOL_ROWS, slice_rows: int = SLICE_ROWS,
+    pool_rows: int = POOL_ROWS, slice_rows: int | None = None,
 ) -> DataFrame:
     """Ratings before and after each contest of ``bouts(pool, d, r, m, w, l)``.
 

@@ -13,6 +13,8 @@ from duelbook.plans.source_queries import (
     show_player_table,
 )
 from duelbook.plans.views import view
+from duelbook.session import scratch_path
+from duelbook.streaming.yearly import rate_arrivals
 
 HALFWAY = "2024-01-15"
 
@@ -125,6 +127,17 @@ def d11(spark, sf):
     return _show_overall(overall_elo(matches.where(F.col("tourney_date") > HALFWAY), players, state=state))
 
 
+@query("d11_yearly_files", OVERALL_SQL, "overall_ev")
+def d11_files(spark, sf):
+    """Files rated as they arrive, each on the state the ones before left."""
+    matches, source, target = contests(spark, sf), scratch_path(spark, "arrivals"), scratch_path(spark, "arrived")
+    for start, end in (("2024-01-01", HALFWAY), (HALFWAY, "2100-01-01")):
+        part = matches.where((F.col("tourney_date") >= start) & (F.col("tourney_date") < end))
+        part.write.mode("append").parquet(source)
+        rate_arrivals(spark, source, matches.schema, view(spark, sf, "players_v"), target)
+    return _show_overall(spark.read.parquet(f"{target}/ratings"))
+
+
 SERIES = {
     "last": "select player, tourney_date, max_by(elo, seq) as elo from rows_ev group by 1, 2",
     "first": """select player, tourney_date, elo from rows_ev

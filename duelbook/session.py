@@ -55,3 +55,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+class Relay:
+    """Intermediate tables of a loop, written to two folders in turn under the shared folder.
+
+    Each round reads what the last one wrote, so lineage never grows, and no more than two rounds
+    are on disk.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.turn = spark, 0
+        self.paths = [scratch_path(spark, f"{name}-{side}") for side in ("a", "b")]
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = self.paths[self.turn % 2]
+        self.turn += 1
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -126,3 +126,22 @@ def test_player_against_self_counts_once(spark):
         "match_num long, surface string, winner_name string, loser_name string, winner_surface_elo double, loser_surface_elo double")
     table = {r.name: (r.elo, r.matches) for r in tables.surface_table(rated).collect()}
     assert table == {"A": (1510.0, 2), "B": (1490.0, 1)}
+
+
+def test_arrivals_equal_one_run(spark, random_matches, tmp_path):
+    from duelbook.streaming.yearly import rate_arrivals
+
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    players = spark.range(0, 40).withColumnRenamed("id", "player_id")
+    for lo, hi in (("2020-01-01", "2020-01-08"), ("2020-01-08", "2020-01-15"), ("2020-01-15", "2021-01-01")):
+        random_matches.where((F.col("tourney_date") >= lo) & (F.col("tourney_date") < hi)).write.mode("append").parquet(source)
+        rate_arrivals(spark, source, random_matches.schema, players, target)
+    full = {r.match_num: r.loser_elo_post for r in overall_elo(random_matches).collect()}
+    got = {r.match_num: r.loser_elo_post for r in spark.read.parquet(f"{target}/ratings").collect()}
+    assert got == full
+    random_matches.where(F.col("tourney_date") == "2020-01-05").write.mode("append").parquet(source)
+    try:
+        rate_arrivals(spark, source, random_matches.schema, players, target)
+        raise AssertionError("an older contest was accepted")
+    except Exception as error:
+        assert "arrive after" in str(error)
