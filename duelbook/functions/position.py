@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECES = 4096  # ranges counted per pass; also the most rows a pass hands to the driver
-SMALL = 1_000_000  # rows that may be sorted to read off the answer
+PIECES = 4096  # ranges counted per pass; also the most rows a pass hands to the driver per class
+SMALL = 200_000  # rows that may be sorted to read off the answer
 
 
 def md5_rank_key(seed, *columns: str) -> Column:
@@ -19,51 +19,74 @@ def md5_number(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
 
 
-def key_at(df: DataFrame, order: list[str], position: int, small: int = SMALL, pieces: int = PIECES):
+def _ranges(lo: int, hi: int, column: str, pieces: int):
+    """Equal ranges from ``lo`` to ``hi``: the width of one and the expression that numbers them."""
+    width = -(-(hi - lo + 1) // pieces)
+    # whole-number division: doubles are not exact beyond 53 bits
+    return width, F.expr(f"(`{column}` - {lo}L) div {width}L").alias("piece")
+
+
+def _holding(counts: list[tuple[int, int]], position: int) -> tuple[int, int, int]:
+    """The range a position falls in, its position inside, and the rows of that range."""
+    for piece, rows in sorted(counts):
+        if position < rows:
+            return piece, position, rows
+        position -= rows
+    raise IndexError(position)
+
+
+def key_at(df: DataFrame, order: list[str], position: int, rows: int | None = None, small: int = SMALL, pieces: int = PIECES):
     """The ``order`` values of the row at a 0-based position, all of them whole numbers.
 
     Each pass counts the rows in equal ranges of a column, combined before the shuffle, and goes on
     inside the range that holds the position.  Only order columns are read, and a key that most
-    rows share hands over to the next column.
+    rows share hands over to the next column.  ``rows`` is the row count if known.
     """
     df = df.select(*order)
     for column in order:
-        while True:
+        while rows is None or rows > small:
             ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("n")).first()
-            if ends.n <= small:
-                return df.orderBy(*order).offset(position).first()
-            if ends.lo == ends.hi:
+            rows = ends.n
+            if rows <= small or ends.lo == ends.hi:
                 break
-            width = -(-(ends.hi - ends.lo + 1) // pieces)
-            # whole-number division: doubles are not exact beyond 53 bits
-            piece = F.expr(f"(`{column}` - {ends.lo}L) div {width}L")
-            for row in sorted(df.groupBy(piece.alias("piece")).count().collect()):
-                if position < row["count"]:
-                    break
-                position -= row["count"]
-            first = ends.lo + row.piece * width
+            width, piece = _ranges(ends.lo, ends.hi, column, pieces)
+            counts = [(r.piece, r["count"]) for r in df.groupBy(piece).count().collect()]
+            held, position, rows = _holding(counts, position)
+            first = ends.lo + held * width
             df = df.where(F.col(column).between(first, first + width - 1))
+        if rows <= small:
+            break
     return df.orderBy(*order).offset(position).first()
 
 
 def label_by_cuts(df: DataFrame, order: list[str], cuts, labels: list[str], by: str | None = None, name: str = "set") -> DataFrame:
     """Label rows by position: ``labels[i]`` up to the i-th cut, the last label beyond.
 
-    ``cuts(n)`` gives the cut positions for ``n`` rows, counted per class of ``by``.  The cut rows'
-    keys are looked up first (a handful of values), then every row is labelled where it is.
+    ``cuts(n)`` gives the cut positions for ``n`` rows, counted per class of ``by``.  The first passes
+    serve all classes and cuts together; then each cut row's key is read off its range, and every
+    row is labelled where it is.
     """
-    key = F.struct(*order)
-    groups = [None] if by is None else [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
+    key, lead = F.struct(*order), order[0]
+    group = F.col(by) if by else F.lit(0)
+    ends = df.groupBy(group.alias("class")).agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.count("*").alias("n")).collect()
+    if not ends:
+        return df.withColumn(name, F.lit(labels[-1]))
+    lo, hi = min(r.lo for r in ends), max(r.hi for r in ends)
+    width, piece = _ranges(lo, hi, lead, PIECES)
+    found: dict = {r["class"]: [] for r in ends}
+    for r in df.groupBy(group.alias("class"), piece).count().collect():
+        found[r["class"]].append((r.piece, r["count"]))
     label = None
-    for group in groups:
-        part = df if group is None else df.where(F.col(by) == group)
-        n = part.count()
+    for r in ends:
+        part = df.where(group == r["class"])
         own = F.lit(labels[-1])
-        for cut, text in reversed(list(zip(cuts(n), labels))):
-            if cut >= n:
+        for cut, text in reversed(list(zip(cuts(r.n), labels))):
+            if cut >= r.n:
                 own = F.lit(text)
             elif cut > 0:
-                at = key_at(part, order, cut)
+                held, inside, rows = _holding(found[r["class"]], cut)
+                first = lo + held * width
+                at = key_at(part.where(F.col(lead).between(first, first + width - 1)), order, inside, rows)
                 own = F.when(key < F.struct(*[F.lit(at[c]).cast("long").alias(c) for c in order]), text).otherwise(own)
-        label = own if label is None else F.when(F.col(by) == group, own).otherwise(label)
-    return df.withColumn(name, label if label is not None else F.lit(labels[-1]))
+        label = own if label is None else F.when(group == r["class"], own).otherwise(label)
+    return df.withColumn(name, label)

@@ -55,8 +55,7 @@ def h2h_lookup(pairs: DataFrame, persp: DataFrame, date: str | None = None) -> D
         return joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("wins", "losses")})
     keys = ["player", "opponent"]
     asked = pairs.select(F.col("player1").alias("player"), F.col("player2").alias("opponent"), F.col(date).alias("tourney_date"))
-    table = _before(
-        persp.groupBy(*keys, "tourney_date").agg(F.count("*").alias("n"), F.sum("target").alias("w")), asked, keys)
+    table = _before(_counted(persp, keys), keys, asked)
     table = table.select(
         F.col("player").alias("player1"), F.col("opponent").alias("player2"), F.col("tourney_date").alias(date),
         F.col("w_before").alias("wins"), (F.col("n_before") - F.col("w_before")).alias("losses"))
@@ -65,19 +64,24 @@ def h2h_lookup(pairs: DataFrame, persp: DataFrame, date: str | None = None) -> D
 
 # --- strictly before a date ---------------------------------------------------
 
-def _before(daily: DataFrame, asked: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Running sums of the daily rows over earlier dates.
+def _counted(persp: DataFrame, keys: list[str], elo: str | None = None) -> DataFrame:
+    rows = [*keys, "tourney_date", F.lit(1).alias("n"), F.col("target").alias("w")]
+    return persp.select(*rows, F.col(elo).alias("elo"), "match_num") if elo else persp.select(*rows)
 
-    ``asked`` adds dates to answer for; they count for nothing themselves.
+
+def _before(counted: DataFrame, keys: list[str], asked: DataFrame | None = None) -> DataFrame:
+    """Per key and date, what the earlier dates add up to: ``n_before``, ``w_before``, ``elo_before``.
+
+    ``asked`` adds dates to answer for: rows that count for nothing, in the same grouping.
     """
-    carries = "last_elo" in daily.columns
+    carries = "elo" in counted.columns
     if asked is not None:
-        blank = asked.select(*keys, "tourney_date").distinct()
-        daily = daily.unionByName(blank, allowMissingColumns=True)
-        merged = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "w")]
-        if carries:
-            merged.append(F.max("last_elo").alias("last_elo"))
-        daily = daily.groupBy(*keys, "tourney_date").agg(*merged)
+        blank = asked.select(*keys, "tourney_date", F.lit(0).alias("n"), F.lit(0).cast("long").alias("w"))
+        counted = counted.unionByName(blank, allowMissingColumns=True)
+    sums = [F.sum("n").alias("n"), F.sum("w").alias("w")]
+    if carries:
+        sums.append(F.max_by("elo", "match_num").alias("last_elo"))
+    daily = counted.groupBy(*keys, "tourney_date").agg(*sums)
     earlier = Window.partitionBy(*keys).orderBy("tourney_date").rowsBetween(Window.unboundedPreceding, -1)
     columns = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("long").alias(f"{c}_before") for c in ("n", "w")]
     if carries:
@@ -85,32 +89,25 @@ def _before(daily: DataFrame, asked: DataFrame | None, keys: list[str]) -> DataF
     return daily.select(*keys, "tourney_date", *columns)
 
 
-def _daily_surface(persp: DataFrame, elo: str | None) -> DataFrame:
-    columns = [F.count("*").alias("n"), F.sum("target").alias("w")]
-    if elo:
-        columns.append(F.max_by(elo, "match_num").alias("last_elo"))
-    return persp.groupBy("player", "surface", "tourney_date").agg(*columns)
-
-
 def surface_asof(persp: DataFrame, elo: str | None = None, asked: DataFrame | None = None) -> DataFrame:
     """Per player, surface and date: contests, wins and (optionally) the rating before the date."""
-    return _before(_daily_surface(persp, elo), asked, ["player", "surface"])
+    keys = ["player", "surface"]
+    return _before(_counted(persp, keys, elo), keys, asked)
 
 
 def pair_asof(matches: DataFrame, who: str = "name", asked: DataFrame | None = None) -> DataFrame:
     """Per unordered pair and date: meetings before the date and those the smaller key won."""
     w, l = F.col(f"winner_{who}"), F.col(f"loser_{who}")
-    daily = matches.select(
-        F.least(w, l).alias("lo"), F.greatest(w, l).alias("hi"), "tourney_date", (w <= l).cast("long").alias("won"))
-    daily = daily.groupBy("lo", "hi", "tourney_date").agg(F.count("*").alias("n"), F.sum("won").alias("w"))
-    return _before(daily, asked, ["lo", "hi"])
+    met = matches.select(
+        F.least(w, l).alias("lo"), F.greatest(w, l).alias("hi"), "tourney_date", (w <= l).cast("long").alias("target"))
+    keys = ["lo", "hi"]
+    return _before(_counted(met, keys), keys, asked)
 
 
 def h2h_before(persp: DataFrame) -> DataFrame:
     """Each row with its player's wins and losses against the opponent before the date."""
     keys = ["player", "opponent"]
-    daily = persp.groupBy(*keys, "tourney_date").agg(F.count("*").alias("n"), F.sum("target").alias("w"))
-    table = _before(daily, None, keys)
+    table = _before(_counted(persp, keys), keys)
     joined = persp.join(table, [*keys, "tourney_date"])
     return joined.withColumn("h2h_wins", F.col("w_before")).withColumn(
         "h2h_losses", F.col("n_before") - F.col("w_before")).drop("w_before", "n_before")
