@@ -32,6 +32,7 @@ from duelbook.session import Relay, scratch_path
 
 POOL_ROWS = 5_000_000
 SLICE_ROWS = (1_000_000, 1_000_000_000)  # the bounds of a time slice of a larger pool
+PLAYER_ROWS = 20_000_000  # of one player in a slice
 KEY = ["pool", "d", "r", "m"]  # pool, then the order inside it: date, round, contest number
 
 
@@ -134,9 +135,7 @@ def _fold(bouts: DataFrame, state: DataFrame | None, k: float | None, start: flo
                 yield pa.RecordBatch.from_arrays(
                     [part.column("pool"), part.column("m"), *map(pa.array, made)], schema=schema)
 
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a fixed number: pools must not be packed into fewer tasks because their rows are narrow
-    ordered = rows.repartition(tasks, "pool").sortWithinPartitions("pool", F.desc("carried"), "d", "r", "m")
+    ordered = rows.repartition("pool").sortWithinPartitions("pool", F.desc("carried"), "d", "r", "m")
     return ordered.mapInArrow(walk, BOUT_SCHEMA)
 
 
@@ -185,27 +184,35 @@ def _relax_slice(views: DataFrame, k: float | None, relay: Relay) -> DataFrame:
             cols["win"] = pc.subtract(1, cols["win"])
             yield pa.RecordBatch.from_arrays([cols[swap.get(f.name, f.name)] for f in schema], schema=schema)
 
-    tasks = int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        ordered = views.repartition(tasks, "pool", "player").sortWithinPartitions("pool", "player", "d", "r", "m")
+        ordered = views.repartition("pool", "player").sortWithinPartitions("pool", "player", "d", "r", "m")
         views = relay.keep(ordered.mapInArrow(walk, views.schema))
         if views.where("moved = 1").isEmpty():
             return views
 
 
-def _slice_rows(bouts: DataFrame) -> int:
-    """About four contests per player and slice: few rounds each, and still worth a job."""
-    crowd = bouts.groupBy("pool").agg(F.approx_count_distinct("w").alias("n")).agg(F.max("n")).first()[0]
-    return max(SLICE_ROWS[0], min(SLICE_ROWS[1], 4 * crowd))
+def _slice_rows(bouts: DataFrame) -> DataFrame:
+    """Contests per time slice of each pool: about four per player, so that few rounds settle it.
+
+    The most active player's part of a slice is bounded, because one task walks it.
+    """
+    views = bouts.select("pool", F.explode(F.array("w", "l")).alias("player"))
+    players = views.groupBy("pool", "player").agg(F.count("*").alias("n"))
+    pools = players.groupBy("pool").agg(F.count("*").alias("crowd"), F.max("n").alias("most"), F.sum("n").alias("views"))
+    hot = F.lit(PLAYER_ROWS) * F.col("views") / (2 * F.col("most"))
+    low, high = SLICE_ROWS
+    wanted = F.greatest(F.lit(low), F.least(4 * F.col("crowd"), hot, F.lit(high)))
+    return pools.select("pool", wanted.cast("long").alias("slice_rows"))
 
 
 def _relax(bouts: DataFrame, state: DataFrame | None, k: float | None, start: float, slice_rows: int | None) -> DataFrame:
     spark = bouts.sparkSession
-    slice_rows = slice_rows or _slice_rows(bouts)
     rounds, states = Relay(spark, "rounds"), Relay(spark, "state")
     per_date = bouts.groupBy("pool", "d").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("pool").orderBy("d")) - F.col("rows")
-    slices = per_date.select("pool", "d", F.floor(before / slice_rows).alias("slice"))
+    sizes = _slice_rows(bouts) if slice_rows is None else per_date.select("pool", F.lit(slice_rows).alias("slice_rows")).distinct()
+    dated = per_date.withColumn("before", before).join(sizes, "pool")
+    slices = dated.select("pool", "d", F.floor(F.col("before") / F.col("slice_rows")).alias("slice"))
     sliced_path, done_path = scratch_path(spark, "slices"), scratch_path(spark, "rated")
     bouts.join(slices, ["pool", "d"]).write.partitionBy("slice").parquet(sliced_path)
     sliced = spark.read.parquet(sliced_path)
