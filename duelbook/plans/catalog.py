@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from duelbook.plans.views import duck_sql
+from duelbook.session import tune
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,7 @@ def query(name: str, sql: str | None = None, views: str = "", extra: str = ""):
     """Register a query; ``sql`` is read over the named derived views by another engine."""
 
     def register(function):
-        QUERIES[name] = function
+        QUERIES[name] = lambda spark, sf_dir: function(tune(spark), sf_dir)
         if sql:
             ORACLES[name] = duck_sql(views, sql, extra) if views else sql
         return function

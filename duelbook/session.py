@@ -10,22 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+# Size estimates of derived tables can be far off, so only what is estimated to be very small is
+# broadcast outright; larger sides are broadcast, or hashed without a sort, on their measured size.
+JOIN_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "1MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Join settings for a session that was made elsewhere."""
+    for key, value in JOIN_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores="*", shuffle_partitions=8, memory="8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("duelbook")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # joins whose shuffled parts are all small need no sort
-        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return tune(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
