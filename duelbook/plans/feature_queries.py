@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from duelbook.operators import features as feats
-from duelbook.operators import history, splits
+from duelbook.operators import splits
 from duelbook.operators.perspectives import perspectives
 from duelbook.operators.rating_tables import player_ratings
-from duelbook.plans.catalog import big, day, query, r6
+from duelbook.plans.catalog import big, query, r6
 from duelbook.plans.history_queries import (
     BEFORE, DAILY_ELO, PERSP, RPERSP, SHOW_FEATURES_SQL, pairings, persp, show_features,
 )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duelbook.functions import clean, names
-from duelbook.operators.features import profile
 from duelbook.operators.history import h2h, history_view
 from duelbook.operators.perspectives import perspectives
 from duelbook.operators.rating_tables import (
