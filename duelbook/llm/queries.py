@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from duelbook.llm import exact
-from duelbook.llm.common import table
+from duelbook.llm import exact, language, pii
+from duelbook.llm.common import remainder, table
 from duelbook.session import tune
 
 QUERIES: dict[str, Callable] = {}
@@ -30,3 +30,16 @@ FROM k WINDOW same AS (PARTITION BY n)""")
 def op4_exact_dedup(spark, sf_dir):
     marked = exact.mark_copies(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op5_personal_data(spark, sf_dir):
+    return pii.find_spans(table(spark, sf_dir, "documents")).drop("scores")
+
+
+@query()
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(remainder("doc_id", 5) != 0))
+    found = language.identify(docs, model)
+    return found.withColumn("held_out", remainder("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
