@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from duelbook.llm import exact, language, pii
+from pyspark.sql import functions as F
+
+from duelbook.llm import exact, language, pii, toxicity
 from duelbook.llm.common import remainder, table
 from duelbook.session import tune
 
@@ -22,6 +24,15 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1))
+    found = toxicity.judge(docs, model).withColumn("held_out", remainder("doc_id", 3) == 1)
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return found.select("doc_id", "held_out", "score", predicted, F.size("offending").alias("n_offending"))
+
+
 @query(r"""
 WITH k AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import chunks, texts
+from duelbook.llm.common import chunks, stored, texts
 
-SAMPLE = 2500  # labelled documents to fit on, per class
-LEAST_DOCS = 4  # a word enters the model if so many sampled documents have it
+SAMPLE = 20_000  # labelled documents to fit on
+LEAST_DOCS = 5  # a word enters the model if so many sampled documents have it,
+LEAST_Z = 4.0  # and toxic ones have it so many standard deviations more often than others,
+MOST_WORDS = 5_000  # the most unusual first
 OFFENDING = 0.5
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -36,12 +38,12 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_noisy_or(words, starts, bags, labels, n_words, rounds=250, rate=0.1, shrink=0.1, bias=-6.0):
+def fit_noisy_or(words, starts, bags, plain, labels, n_words, rounds=250, rate=0.1, shrink=0.01, bias=-6.0):
     """Weights and bias of the sentence model by Adam on the likelihood of a leaky noisy-or.
 
-    ``words`` of sentence i are ``words[starts[i]:starts[i + 1]]``; ``bags`` gives each sentence's document. The leak is
-    the learned chance of a toxic label that no sentence explains; it keeps wrong labels from being learned by heart and
-    is no part of a score.
+    ``words`` of sentence i are ``words[starts[i]:starts[i + 1]]``; ``bags`` gives each sentence's document and ``plain``
+    each document's number of sentences without a model word. The leak is the learned chance of a toxic label that no
+    sentence explains; it keeps wrong labels from being learned by heart and is no part of a score.
     """
     params = np.zeros(n_words + 2)  # weights, bias, leak
     params[-2:] = bias, np.log(0.03)
@@ -51,10 +53,12 @@ def fit_noisy_or(words, starts, bags, labels, n_words, rounds=250, rate=0.1, shr
     y = labels.astype(bool)
     for step in range(1, rounds + 1):
         z = np.bincount(of, params[words], minlength=len(n)) + params[-2]
-        none = np.bincount(bags, -np.logaddexp(0, z), minlength=len(labels)) - np.logaddexp(0, params[-1])
+        none = np.bincount(bags, -np.logaddexp(0, z), minlength=len(labels))
+        none = none - plain * np.logaddexp(0, params[-2]) - np.logaddexp(0, params[-1])
         pull = np.where(y, -np.exp(none) / np.maximum(-np.expm1(none), 1e-12), 1.0)
         slope = pull[bags] * sigmoid(z)
-        grad = np.append(np.bincount(words, slope[of], minlength=n_words), [slope.sum(), pull.sum() * sigmoid(params[-1])])
+        rest = [slope.sum() + (pull * plain).sum() * sigmoid(params[-2]), pull.sum() * sigmoid(params[-1])]
+        grad = np.append(np.bincount(words, slope[of], minlength=n_words), rest)
         grad[:-2] += shrink * params[:-2]
         grad /= len(labels)
         moments[0] += 0.1 * (grad - moments[0])
@@ -64,43 +68,56 @@ def fit_noisy_or(words, starts, bags, labels, n_words, rounds=250, rate=0.1, shr
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """``(weight by word, bias)`` from about ``sample`` labelled documents of each class, chosen by hash of doc_id.
+    """``(weight by word, bias)`` from about ``sample`` labelled documents, chosen by hash of doc_id.
 
-    A document with several labels counts as toxic if one says so; null labels are left out. Without both classes the
-    model is empty and scores everything 0.
+    Words enter the model if toxic documents of the sample have them far more often than chance allows. A document with
+    several labels counts as toxic if one says so; null labels are left out. Without both classes the model is empty
+    and scores everything 0.
     """
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    sizes = {row["toxic"]: row["count"] for row in labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    labels = labels.where("doc_id is not null and toxic in (0, 1)")
+    share = min(1.0, sample / max(1, labels.count()))
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * sample)
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # The sample has at most 2 * SAMPLE rows of two numbers, so it may be sent to every task.
+    rows = stored(texts(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
+    sizes = {row["toxic"]: row["count"] for row in rows.groupBy("toxic").count().collect()}
     if set(sizes) != {0, 1}:
         return {}, 0.0
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    limit = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
-    chosen = labels.where((chance < limit) & F.col("toxic").isin(0, 1)).limit(3 * sample)
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
-    def extract(frames):
+    def spread(frames):
         for frame in chunks(frames):
-            rows = [(toxic, [" ".join(sorted(s[2])) for s in sentences(text)]) for toxic, text in zip(frame["toxic"], frame["text"])]
-            yield pd.DataFrame(rows, columns=["toxic", "bag"])
-
-    # The sample has at most 3 * SAMPLE rows of two numbers, so it may be sent to every task.
-    bags = texts(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    rows = bags.mapInPandas(extract, "toxic int, bag array<string>").toPandas()
-    spread: dict[str, int] = {}
-    for bag in rows["bag"]:
-        for word in {w for sentence in bag for w in sentence.split(" ")}:
-            spread[word] = spread.get(word, 0) + 1
-    known = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= LEAST_DOCS))}
-    if not known or rows["toxic"].nunique() < 2:
+            for toxic, text in zip(frame["toxic"], frame["text"]):
+                yield pd.DataFrame({"word": sorted(set().union(*(s[2] for s in sentences(text)))), "toxic": int(toxic)})
+
+    base = sizes[1] / (sizes[0] + sizes[1])
+    unusual = (F.col("hits") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
+    found = (
+        rows.mapInPandas(spread, "word string, toxic int").groupBy("word")
+        .agg(F.count("*").alias("n"), F.sum("toxic").alias("hits"))
+        .where((F.col("n") >= LEAST_DOCS) & (unusual > LEAST_Z))
+        .orderBy(unusual.desc(), "word").limit(MOST_WORDS).collect()
+    )
+    known = {w: i for i, w in enumerate(sorted(row["word"] for row in found))}
+    if not known:
         return {}, 0.0
-    words, starts, of = [], [0], []
-    for i, bag in enumerate(rows["bag"]):
-        for sentence in bag:
-            words += [known[w] for w in sentence.split(" ") if w in known]
-            starts.append(len(words))
-            of.append(i)
-    weights, bias = fit_noisy_or(np.array(words, np.int64), np.array(starts), np.array(of), rows["toxic"].to_numpy(), len(known))
-    return {w: float(weights[i]) for w, i in known.items() if abs(weights[i]) > 1e-3}, bias
+
+    def bag(frames):
+        for frame in chunks(frames):
+            out = []
+            for toxic, text in zip(frame["toxic"], frame["text"]):
+                parts = [[known[w] for w in s[2] if w in known] for s in sentences(text)]
+                told = [p for p in parts if p]
+                out.append((toxic, len(parts) - len(told), [len(p) for p in told], [w for p in told for w in sorted(p)]))
+            yield pd.DataFrame(out, columns=["toxic", "plain", "sizes", "words"])
+
+    bags = rows.mapInPandas(bag, "toxic int, plain long, sizes array<int>, words array<int>").toPandas()
+    per = np.concatenate([np.asarray(s, np.int64) for s in bags["sizes"]])
+    words = np.concatenate([np.asarray(w, np.int64) for w in bags["words"]])
+    of = np.repeat(np.arange(len(bags)), bags["sizes"].str.len())
+    weights, bias = fit_noisy_or(
+        words, np.append(0, per.cumsum()), of, bags["plain"].to_numpy(np.float64), bags["toxic"].to_numpy(), len(known))
+    return {w: float(weights[i]) for w, i in known.items()}, bias
 
 
 def scorer(model):
