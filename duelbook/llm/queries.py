@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from duelbook.llm import exact, language, pii, toxicity
+from duelbook.llm import exact, language, packing, pii, token_files, toxicity
 from duelbook.llm.common import remainder, table
-from duelbook.session import tune
+from duelbook.session import scratch_path, tune
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(sql: str | None = None):
     def register(function):
         QUERIES[function.__name__] = lambda spark, sf_dir: function(tune(spark), sf_dir)
@@ -33,6 +39,11 @@ def op1_toxicity(spark, sf_dir):
     return found.select("doc_id", "held_out", "score", predicted, F.size("offending").alias("n_offending"))
 
 
+@query()
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 @query(r"""
 WITH k AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -54,3 +65,10 @@ def op7_language(spark, sf_dir):
     model = language.fit(docs.where(remainder("doc_id", 5) != 0))
     found = language.identify(docs, model)
     return found.withColumn("held_out", remainder("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query()
+def op10_token_files(spark, sf_dir):
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, path)
