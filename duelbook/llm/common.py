@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 
 import numpy as np
@@ -23,7 +24,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """A number for each row, the same on every read of the same files; tells rows of one doc_id apart."""
+    """A number for each row, the same on every read; tells rows of one doc_id apart.
+
+    A plain scan of files gives its rows alike each time. Anything else is written to the shared folder first.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    if {re.match(r"[\s:+|-]*(\w*)", line)[1] for line in plan} - {"Project", "Filter", "Relation"}:
+        docs = stored(docs, "rows")
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from duelbook.llm import exact, language, packing, pii, token_files, toxicity
+from duelbook.llm import exact, jaccard, language, packing, pii, suffixes, token_files, toxicity
 from duelbook.llm.common import remainder, table
 from duelbook.session import scratch_path, tune
 
@@ -39,6 +39,11 @@ def op1_toxicity(spark, sf_dir):
     return found.select("doc_id", "held_out", "score", predicted, F.size("offending").alias("n_offending"))
 
 
+@query()
+def op2_repeated_strings(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -67,6 +72,27 @@ def op7_language(spark, sf_dir):
     return found.withColumn("held_out", remainder("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+@query(r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+    FROM documents),
+s AS (
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS g
+    FROM w),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+l AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id
+        AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(doc_id, id) AS (
+    SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.id FROM r JOIN l ON r.doc_id = l.a AND r.id < l.b)
+SELECT s.doc_id, len(any_value(s.g)) AS n_shingles, min(r.id) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id""")
+def op8_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query()
 def op10_token_files(spark, sf_dir):
     path = scratch_path(spark, "token-files")
