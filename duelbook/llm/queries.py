@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from duelbook.llm import exact, jaccard, language, packing, pii, suffixes, token_files, toxicity
+from duelbook.llm import exact, jaccard, language, packing, pii, suffixes, token_files, toxicity, urls
 from duelbook.llm.common import remainder, table
 from duelbook.session import scratch_path, tune
 
@@ -93,6 +93,69 @@ def op8_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def url_sql() -> str:
+    """The templates, merges and verdicts of ``urls`` in SQL."""
+    names = ", ".join(f"s{i}" for i in range(4))
+    levels, before = "", "paths"
+    for i in range(4):
+        template = "token" if i == 0 else "template || '/' || token"
+        branch = "token AS branch" if i == 0 else "branch"
+        kept = "'' AS template, '' AS branch" if i == 0 else "template, branch"
+        levels += f"""
+b{i} AS (SELECT host, {names}, n, blocked, labels, {kept} FROM {before}),
+k{i} AS (SELECT host, template, s{i}, sum(n) AS own FROM b{i} GROUP BY ALL),
+c{i} AS (SELECT host, template, s{i}, CASE WHEN count(*) OVER w > 20 AND own * 20 < sum(own) OVER w THEN '*' ELSE s{i} END AS token
+    FROM k{i} WINDOW w AS (PARTITION BY host, template)),
+t{i} AS (SELECT b.host, {", ".join(f"b.s{j}" for j in range(4))}, n, blocked, labels, {branch},
+    {template.replace("template", "b.template")} AS template
+    FROM b{i} b JOIN c{i} c ON b.host = c.host AND b.template = c.template AND b.s{i} = c.s{i}),"""
+        before = f"t{i}"
+    return f"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+pp AS (
+    SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+ruled AS (
+    SELECT *, CASE
+        WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+        string_split(regexp_replace(path, '[0-9]+', '{{n}}', 'g'), '/') AS seg FROM pp),
+rows_ AS (
+    SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
+        coalesce(seg[2], '') AS s0, coalesce(seg[3], '') AS s1, coalesce(seg[4], '') AS s2, array_to_string(seg[5:], '/') AS s3 FROM ruled),
+paths AS (
+    SELECT host, {names}, count(*) AS n, count(*) FILTER (ruled = 'block') AS blocked, count(ruled) AS labels FROM rows_ GROUP BY ALL),{levels}
+tree AS (SELECT *, substr(template, length(branch) + 1) AS child FROM t3),
+cnt AS (SELECT host, branch, child, sum(n) AS n, sum(blocked) AS blocked, sum(labels) AS labels FROM tree GROUP BY ALL),
+siz AS (SELECT host, branch, sum(n)::DOUBLE AS size, sum(blocked)::DOUBLE AS blocked, sum(labels)::DOUBLE AS labels FROM cnt GROUP BY ALL),
+piv AS (SELECT host, branch AS top, size AS top_size, blocked AS top_blocked, labels AS top_labels FROM siz
+    QUALIFY row_number() OVER (PARTITION BY host ORDER BY size DESC, branch) = 1),
+com AS (SELECT o.host, o.branch, sum(least(o.n * p.top_size, t.n * s.size)) AS common
+    FROM cnt o JOIN piv p ON o.host = p.host JOIN cnt t ON t.host = p.host AND t.branch = p.top AND t.child = o.child
+    JOIN siz s ON s.host = o.host AND s.branch = o.branch GROUP BY ALL),
+mer AS (SELECT s.host, s.branch, CASE WHEN coalesce(common, 0.0) >= 0.8::DOUBLE * size * top_size AND (labels = 0 AND top_labels = 0
+        OR labels > 0 AND top_labels > 0 AND abs(blocked * top_labels - top_blocked * labels) <= 0.2::DOUBLE * labels * top_labels)
+        THEN top ELSE s.branch END AS merged
+    FROM siz s JOIN piv p ON s.host = p.host LEFT JOIN com c ON c.host = s.host AND c.branch = s.branch),
+mt AS (SELECT t.*, merged FROM tree t JOIN mer m ON t.host = m.host AND t.branch = m.branch),
+whole AS (SELECT (coalesce(sum(blocked), 0) + 1.0::DOUBLE) / (coalesce(sum(labels), 0) + 2.0::DOUBLE) AS whole FROM mt),
+prior AS (SELECT host, (sum(blocked) + 2.0::DOUBLE * any_value(whole)) / (sum(labels) + 2.0::DOUBLE) AS prior FROM mt, whole GROUP BY host),
+pur AS (SELECT m.host, merged, child, sum(labels) >= 3 AND (sum(blocked) + 2.0::DOUBLE * any_value(prior)) / (sum(labels) + 2.0::DOUBLE) >= 0.5 AS rejected
+    FROM mt m JOIN prior p ON m.host = p.host GROUP BY ALL)
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict,
+    '/' || m.merged || m.child AS template
+FROM rows_ r JOIN mt m ON r.host = m.host AND r.s0 = m.s0 AND r.s1 = m.s1 AND r.s2 = m.s2 AND r.s3 = m.s3
+JOIN pur p ON p.host = m.host AND p.merged = m.merged AND p.child = m.child"""
+
+
+@query(url_sql())
+def op9_url_filter(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op10_token_files(spark, sf_dir):
     path = scratch_path(spark, "token-files")
