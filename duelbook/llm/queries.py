@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from duelbook.llm import exact, jaccard, language, packing, pii, suffixes, token_files, toxicity, urls
+from duelbook.llm import exact, jaccard, language, packing, pii, suffixes, templates, token_files, toxicity, urls
 from duelbook.llm.common import remainder, table
 from duelbook.session import scratch_path, tune
 
@@ -64,6 +64,12 @@ def op5_personal_data(spark, sf_dir):
     return pii.find_spans(table(spark, sf_dir, "documents")).drop("scores")
 
 
+@query()
+def op6_decontamination(spark, sf_dir):
+    found = templates.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "share", "n_changed")
+
+
 @query()
 def op7_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
