@@ -76,7 +76,7 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
         tag = np.uint64(level * int(ODD) % (1 << 64))
         out.append(mix(np.add.reduceat(mix(h), new) + mix(part[new].astype(np.uint64) + tag)))
         if len(new) <= min(most_apart(size, num, den), level - 1):
-            out.append(mix(h[: size - -(-num * size // den) + 1] + mix(tag + np.uint64(1))))
+            out.append(mix(h[: size - -(-num * size // den) + 1] + mix(np.array([tag]) ^ ODD)))
         level //= 2
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 

@@ -1,0 +1,238 @@
+"""Tokens, windows, files, personal data, languages, toxicity, templates and urls."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from duelbook.llm import language, packing, pii, queries, templates, token_files, toxicity, urls
+from duelbook.llm.common import remainder, table
+from duelbook.llm.encode import Encoder
+from duelbook.llm.queries import vocabulary
+
+SF = "/root/testdata/sf0.01"
+pytest.importorskip("public_tokenizers")
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+
+
+def tokenizer(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary(name))
+
+
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "words")])
+def test_ids_are_the_tokenizers(name, kind):
+    rng = random.Random(1)
+    bits = ["a", "The", "  ", " ", "\n", "\n\n", "\t", " \n", "'s", "don't", "12", "!", "...", "^", "\0", "é", "e\u0301", "中文", "😀", "\u3000", "\xa0",
+            "\x1c", "\x85", "<|endoftext|>", "İ", "ß", "ΑΣ", "\r\n", "a.", "Z,", "É. ", "word, next", "x.\n", "²."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    expected = [e.ids for e in tokenizer(name).encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in Encoder(vocabulary(name), kind).encode(texts)] == expected
+
+
+def test_windows_are_full_and_within_capacity():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 300, 1500):
+        lengths = rng.integers(1, 257, n)
+        window = packing.windows(lengths)
+        loads = np.bincount(window, lengths)
+        assert loads.max() <= 2048 and len(loads) <= -(-lengths.sum() // 2048) + 1
+    assert len(packing.windows(np.empty(0, np.int64))) == 0
+    loads = np.bincount(packing.difference(np.array([8, 7, 6, 5, 4]), 2), [8, 7, 6, 5, 4])
+    assert sorted(loads.tolist()) in ([14, 16], [15, 15])
+
+
+def test_packing(edges, nothing):
+    texts = sorted(((r["doc_id"], r["text"]) for r in edges.collect()), key=repr)
+    encode = tokenizer("word_bpe_49k.json")
+    expected = sorted(((doc, encode.encode(text or "", add_special_tokens=False).ids + [1]) for doc, text in texts), key=repr)
+    rows = packing.pack(edges, vocabulary("word_bpe_49k.json"), docs_per_group=8, ids=True).collect()
+    sequences, documents = {}, {}
+    for r in rows:
+        ids = np.array(r["ids"], "<u4")
+        assert r["length"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids.tobytes())
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        documents.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], list(r["ids"])))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    for doc, ids in expected:
+        pieces = sorted(documents[doc, len(ids)])
+        assert ids[pieces[0][0] : len(pieces[0][1])] == pieces[0][1] or len([e for e in expected if e[0] == doc]) > 1
+    assert sum(r["length"] for r in rows) == sum(len(ids) for _, ids in expected)
+    assert packing.pack(nothing, vocabulary("word_bpe_49k.json")).count() == 0
+
+
+def test_token_files_round_trip(spark, edges, nothing, plain, tmp_path):
+    path = token_files.write_token_files(edges, str(tmp_path / "ids"), vocabulary("byte_bpe_50k.json"))
+    rows = token_files.read_token_files(spark, path, ids=True).orderBy("start").collect()
+    encode = tokenizer("byte_bpe_50k.json")
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    start = 0
+    for row, (doc, text) in zip(rows, sorted(plain, key=key), strict=True):
+        ids = encode.encode(text or "", add_special_tokens=False).ids + [0]
+        assert (row["doc_id"], row["start"], row["n_tokens"], list(row["ids"])) == (doc, start, len(ids), ids)
+        assert row["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    assert token_files.read_document(spark, path, 8) == encode.encode("b c", add_special_tokens=False).ids + [0]
+    assert token_files.read_document(spark, path, 12345) == []
+    empty = token_files.write_token_files(nothing, str(tmp_path / "none"), vocabulary("byte_bpe_50k.json"))
+    assert token_files.read_token_files(spark, empty).count() == 0
+
+
+def test_blocks_refuse_another_dictionary():
+    block = token_files.pack_block([1], [token_files.codec(b"")[0].compress(b"\1\0\0\0")], [1], b"")
+    assert [(d, i.tolist()) for d, i in token_files.read_frames(block, b"")] == [(1, [1])]
+    with pytest.raises(ValueError):
+        list(token_files.read_frames(block, b"x"))
+
+
+def brute_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15)]
+    return [(k, *m.span()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(2)
+    bits = ["a", "b.c", "@", "@x.y", ".", "-", "+", "1", "23", "255", "256", "4539148803436467", "4539 1488 0343 6467", " ", "(", "10.0.0.1", "é", "+44 20 7946 0958"]
+    for _ in range(6000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 16)))
+        assert [s[:3] for s in pii.spans(text) if s[0] in pii.BASE] == brute_spans(text), text
+    assert pii.spans("1" * 200_000 + "a@" * 1000) == []
+    assert any(s[0] == "iban" for s in pii.spans("Bank account GB82 WEST 1234 5698 7654 32 please"))
+    assert not any(s[0] == "iban" for s in pii.spans("Bank account GB83 WEST 1234 5698 7654 32 please"))
+    card = lambda t: [s[0] for s in pii.spans(t)]
+    assert card("credit card 378282246310005") == ["short_card"] and card("order 378282246310005") == []
+
+
+def test_personal_data_table(edges, nothing):
+    rows = pii.find_spans(edges).collect()
+    assert len(rows) == edges.count()
+    row = next(r for r in rows if r["doc_id"] == 19)
+    assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == (1, 1, 1, 1)
+    assert next(r for r in rows if r["doc_id"] == 4)["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert pii.find_spans(nothing).count() == 0
+
+
+@tables
+def test_languages_on_held_out_rows(spark, edges, nothing):
+    docs = table(spark, SF, "documents")
+    model = language.fit(docs.where(remainder("doc_id", 5) != 0))
+    held = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(remainder("doc_id", 5) == 0)
+    rows = held.collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+    found = {(r["doc_id"], r["lang_pred"]) for r in language.identify(edges, model).collect()}
+    assert {(4, "und"), (5, "und"), (6, "und"), (14, "und"), (18, "und")} <= found
+    assert language.identify(nothing, model).count() == 0
+    assert language.predictor(language.fit(nothing))("text") == ("und", 0.0, True)
+    assert language.predictor((["en"], *[np.zeros((1, 0)), np.zeros((language.DIMS, 0)), np.zeros(0)]))("text")[0] == "en"
+
+
+def test_codewords_differ():
+    for n in (2, 3, 4, 5, 9, 40):
+        code = language.codewords(n)
+        assert len({tuple(row) for row in code.tolist()}) == n
+        assert n < 9 or min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= 8
+
+
+@tables
+def test_toxicity_on_held_out_rows(spark, edges, nothing):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.fit(docs, labels.where(remainder("doc_id", 3) != 1))
+    held = labels.where(remainder("doc_id", 3) == 1)
+    rows = toxicity.judge(docs, model).join(held, "doc_id").select("score", "toxic").collect()
+    hit = sum(r["score"] >= 0.7 and r["toxic"] == 1 for r in rows)
+    assert hit >= 0.75 * sum(r["toxic"] == 1 for r in rows) and hit >= 0.9 * sum(r["score"] >= 0.7 for r in rows)
+    out = {r["doc_id"]: r for r in toxicity.judge(edges, model).collect()}
+    assert out[4]["score"] == out[5]["score"] == 0.0 and len(out[4]["offending"]) == 0
+    text = "All is fine here. You worthless stupid idiot! And so on."
+    score, offending = toxicity.scorer(model)(text)
+    assert score > 0.7 and [text[a:b].strip() for a, b, _ in offending] == ["You worthless stupid idiot"]
+    assert toxicity.judge(nothing, model).count() == 0
+    assert toxicity.fit(nothing, labels) == ({}, 0.0) and toxicity.scorer(({}, 0.0))("x") == (0.0, [])
+
+
+ITEM = "A train leaves Paris at 40 km per hour and the driver Jones counts 12 cows before it has reached the second town of Lyon."
+
+
+def test_templates_find_new_parameters_only_where_slots_agree(spark, nothing):
+    index = templates.build_index([(1, ITEM), (2, "too short"), (3, "Seven plain words make one small item")])
+    changed = ITEM.replace("Paris", "Berlin").replace("40", "90").replace("Jones", "Smith").replace("12", "7")
+    for text in (ITEM, "Some words. " + changed + " More words.", ITEM.replace(" ", "\n ")[:0] + ITEM.lower().replace("paris", "Paris").replace("jones", "Jones").replace("lyon", "Lyon")):
+        assert [m[0] for m in templates.matches(text, *index)] == [1], text
+    assert templates.matches(changed, *index)[0][3] == 4
+    twice = "If Ann has 3 pears and Bob has 3 plums then how many fruits do Ann and Bob have in their two baskets"
+    index = templates.build_index([(5, twice)])
+    assert templates.matches(twice.replace("3", "8"), *index)
+    assert not templates.matches(twice.replace("has 3 plums", "has 9 plums"), *index)
+    for text in (None, "", "train train", "The train is at the town and it has cows."):
+        assert templates.matches(text, *index) == []
+    docs = spark.createDataFrame([(1, twice), (1, twice), (None, twice), (2, None), (3, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, twice), (6, twice), (7, None), (None, twice)], "item_id long, text string")
+    rows = sorted(((r["doc_id"], r["item_id"]) for r in templates.find_items(docs, bench).collect()), key=repr)
+    assert rows == sorted([(1, 5), (1, 6)] * 2 + [(None, 5), (None, 6)], key=repr)
+    assert templates.find_items(docs, bench.where("false")).count() == templates.find_items(nothing, bench).count() == 0
+
+
+@tables
+def test_decontamination_finds_every_passage(spark):
+    docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    found = {(r["doc_id"], r["item_id"]) for r in templates.find_items(docs, bench).collect()}
+    items = bench.collect()
+    whole = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items if i["text"] in d["text"]}
+    assert whole and whole <= found and len(found - whole) <= 0.05 * len(whole) + 2
+
+
+def brute_rule(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [r for r in ("net/", "example.net/en/", "example.com/de/", "org/fr/")
+            if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_url_rules_and_templates(spark):
+    links = ["http://A.example.NET/en/1?x", "https://b.net", "https://b.net/", "x://xnet/", "http://q.example.com/de/7.html#a", None, "", "no scheme", "://",
+             "http://a.org/fr", "http://a.org/fr/2", "HTTP://É.org/fr/ü", "http://h.example.com?x=http://b.net/"]
+    rows = list(enumerate(links)) + [(0, links[0]), (None, links[1])]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host", "2 AS n", "'x' AS template", "'y' AS s0")
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"]) for r in urls.judge(df).collect()), key=repr)
+    assert got == sorted(((p, *brute_rule(u)) for p, u in rows), key=repr)
+    assert urls.judge(df.where("false")).count() == 0
+
+
+def test_url_templates_learn_from_ruled_pages(spark):
+    rules = (("block", "h.com", "/bad/1"), ("allow", "h.com", "/ok/1"))
+    rows = [f"http://h.com/{k}/{i}" for k in ("bad", "ok") for i in range(100, 140)] + [f"http://h.com/{k}/{i}" for k in ("bad", "ok") for i in range(200, 210)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    out = {r["page_id"]: (r["verdict"], r["template"]) for r in urls.judge(df, rules).collect()}
+    assert out[85] == ("block", "/bad/{n}//") and out[95] == ("allow", "/ok/{n}//")
+
+
+@tables
+@pytest.mark.parametrize("name", ["op4_exact_dedup", "op8_jaccard", "op9_url_filter"])
+def test_queries_against_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "pages"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    frame = queries.QUERIES[name](spark, SF)
+    names = sorted(frame.columns)
+    plain = lambda rows: sorted(map(repr, map(tuple, rows)))
+    assert plain(frame.select(*names).collect()) == plain(duck.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLES[name]})").fetchall())
