@@ -19,7 +19,10 @@ WORDS = re.compile(rf"[^{BLANK}]+")
 # Any blank other than single spaces and line ends between other characters, and what marks a literal key.
 UNEVEN = re.compile(rf"[{BLANK}][{BLANK}]|[^\S \n]|[\x85\0]|\A[{BLANK}]|[{BLANK}]\Z")
 NOT_WHITE = re.compile(r"[\x1c-\x1f]")  # split() would cut there
-MOST_KEPT = 600_000
+# A mark between a letter and a blank is a pre-token of its own.
+MARK = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|\Z)")
+OTHER_CASE = re.compile("[\u0130\u0250-\U0010ffff]")  # letters that may lower otherwise than in the tokenizer
+MOST_KEPT = 1_200_000
 
 
 class Numbered(dict):
@@ -49,10 +52,13 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         """Stretches of a text as keys: after ``\\0`` literal, else with the space before them left off."""
         if self.kind == "words":
+            if not OTHER_CASE.search(text):
+                text = text.lower()
+            text = MARK.sub(r" \1", text)
             return WORDS.findall(text) if NOT_WHITE.search(text) else text.split()
         if UNEVEN.search(text):
             return ["\0" + p for p in SPACED.findall(text)]
-        found = text.replace("\n", " \n").split(" ")
+        found = MARK.sub(" \\0\\1", text.replace("\n", " \n")).split(" ")
         found[0] = "\0" + found[0]
         return found
 
