@@ -16,7 +16,7 @@ def normalise_name(name: Column) -> Column:
 def capitalise(text: Column) -> Column:
     """First letter upper, the rest lower (not per word)."""
     text = F.trim(text)
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
 
 
 def resolve_aliases(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
@@ -40,8 +40,7 @@ def _letters(text: Column) -> Column:
     letters = F.filter(F.split(text, ""), lambda c: c != "")
     numbered = F.transform(
         letters,
-        lambda c, i: F.concat(
-            F.lpad((F.lit(999) - F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c))).cast("string"), 3, "0"), c))
+        lambda c, i: F.struct((-F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c))).alias("turn"), c.alias("letter")))
     return F.array_sort(numbered)
 
 

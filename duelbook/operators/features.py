@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelbook.operators.history import (
-    add_surface_rates, h2h, history_view, pair_asof, rate_or_half, surface_asof, surface_record,
+    add_surface_rates, attach, h2h, history_view, pair_asof, rate_or_half, surface_asof, surface_record,
 )
 from duelbook.operators.perspectives import perspectives
 from duelbook.schema import START_ELO, SURFACES
@@ -26,9 +26,9 @@ def _asof_sides(df: DataFrame, record: DataFrame, pairs: DataFrame, first: str,
             F.col("player").alias(column), "surface", "tourney_date",
             F.coalesce("elo_before", F.lit(START_ELO)).alias(f"{tag}_elo"),
             F.col("n_before").alias(f"{tag}_n"), F.col("w_before").alias(f"{tag}_w"))
-        df = df.join(side, [column, "surface", "tourney_date"])
+        df = attach(df, side, [column, "surface", "tourney_date"])
     df = df.withColumn("lo", F.least(first, second)).withColumn("hi", F.greatest(first, second))
-    df = df.join(pairs.withColumnsRenamed({"n_before": "met", "w_before": "met_lo"}), ["lo", "hi", "tourney_date"])
+    df = attach(df, pairs.withColumnsRenamed({"n_before": "met", "w_before": "met_lo"}), ["lo", "hi", "tourney_date"])
     won = F.when(F.col(first) == F.col("lo"), F.col("met_lo")).otherwise(F.col("met") - F.col("met_lo"))
     return df.withColumn("a_met", won)
 

@@ -20,6 +20,13 @@ def rate_or_half(wins: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(wins, total), F.lit(0.5))
 
 
+def attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys where NULL meets NULL, so that no row of ``df`` is lost; keys come once."""
+    named = table.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(named, same, "left").drop(*[f"_{k}" for k in keys])
+
+
 # --- full history -----------------------------------------------------------
 
 def h2h(persp: DataFrame) -> DataFrame:
@@ -59,7 +66,8 @@ def h2h_lookup(pairs: DataFrame, persp: DataFrame, date: str | None = None) -> D
     table = table.select(
         F.col("player").alias("player1"), F.col("opponent").alias("player2"), F.col("tourney_date").alias(date),
         F.col("w_before").alias("wins"), (F.col("n_before") - F.col("w_before")).alias("losses"))
-    return pairs.join(table, ["player1", "player2", date], "left")
+    joined = attach(pairs, table, ["player1", "player2", date])
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("wins", "losses")})
 
 
 # --- strictly before a date ---------------------------------------------------
@@ -72,6 +80,9 @@ def _counted(persp: DataFrame, keys: list[str], elo: str | None = None) -> DataF
 def _before(counted: DataFrame, keys: list[str], asked: DataFrame | None = None) -> DataFrame:
     """Per key and date, what the earlier dates add up to: ``n_before``, ``w_before``, ``elo_before``.
 
+    No date is known to be before a NULL date, nor a NULL date before another: such rows read nothing
+    and count for nothing.
+
     ``asked`` adds dates to answer for: rows that count for nothing, in the same grouping.
     """
     carries = "elo" in counted.columns
@@ -83,9 +94,10 @@ def _before(counted: DataFrame, keys: list[str], asked: DataFrame | None = None)
         sums.append(F.max_by("elo", "match_num").alias("last_elo"))
     daily = counted.groupBy(*keys, "tourney_date").agg(*sums)
     earlier = Window.partitionBy(*keys).orderBy("tourney_date").rowsBetween(Window.unboundedPreceding, -1)
-    columns = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("long").alias(f"{c}_before") for c in ("n", "w")]
+    dated = F.col("tourney_date").isNotNull()
+    columns = [F.coalesce(F.sum(F.when(dated, F.col(c))).over(earlier), F.lit(0)).cast("long").alias(f"{c}_before") for c in ("n", "w")]
     if carries:
-        columns.append(F.last("last_elo", ignorenulls=True).over(earlier).alias("elo_before"))
+        columns.append(F.last(F.when(dated, F.col("last_elo")), ignorenulls=True).over(earlier).alias("elo_before"))
     return daily.select(*keys, "tourney_date", *columns)
 
 
@@ -108,14 +120,14 @@ def h2h_before(persp: DataFrame) -> DataFrame:
     """Each row with its player's wins and losses against the opponent before the date."""
     keys = ["player", "opponent"]
     table = _before(_counted(persp, keys), keys)
-    joined = persp.join(table, [*keys, "tourney_date"])
+    joined = attach(persp, table, [*keys, "tourney_date"])
     return joined.withColumn("h2h_wins", F.col("w_before")).withColumn(
         "h2h_losses", F.col("n_before") - F.col("w_before")).drop("w_before", "n_before")
 
 
 def surface_before(persp: DataFrame) -> DataFrame:
     """Each row with its player's record on the surface before the date."""
-    joined = persp.join(surface_asof(persp), ["player", "surface", "tourney_date"])
+    joined = attach(persp, surface_asof(persp), ["player", "surface", "tourney_date"])
     return joined.withColumn("surface_win_rate", rate_or_half(F.col("w_before"), F.col("n_before"))).withColumnRenamed(
         "n_before", "surface_matches").withColumnRenamed("w_before", "surface_wins")
 
@@ -126,7 +138,7 @@ def rating_before(persp: DataFrame, elo: str = "player_stored_elo", start: float
     ``elo`` names the attached value: the stored pre-contest rating, or a post-contest one.
     """
     table = surface_asof(persp, elo).select("player", "surface", "tourney_date", "elo_before")
-    joined = persp.join(table, ["player", "surface", "tourney_date"])
+    joined = attach(persp, table, ["player", "surface", "tourney_date"])
     return joined.withColumn("elo_before", F.coalesce("elo_before", F.lit(start)))
 
 

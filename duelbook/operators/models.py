@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from duelbook.functions.clean import format_h2h
 from duelbook.functions.elo import expected_score
 from duelbook.operators.features import FEATURES, encode_surface, features_asof, standard_parameters, standardise
+from duelbook.operators.history import history_view, known_pairs
 from duelbook.operators.splits import even_folds
 from duelbook.schema import SURFACES
 from duelbook.session import cut_lineage
@@ -156,7 +157,15 @@ def decide(scored: DataFrame, p: str = "p") -> DataFrame:
 
 
 def predict(pairs: DataFrame, rated: DataFrame, model) -> DataFrame:
-    """Scores of pairings ``(query_id, player1, player2, surface, tourney_date)`` with details."""
+    """Scores of pairings ``(query_id, player1, player2, surface, tourney_date)`` with details.
+
+    Pairings with a player the history does not know are left out; one without a date is asked for
+    the day of the history's last contest.
+    """
+    persp = history_view(rated)
+    last = rated.agg(F.max("tourney_date").alias("_last"))  # one row
+    pairs = known_pairs(pairs, persp).crossJoin(F.broadcast(last))
+    pairs = pairs.withColumn("tourney_date", F.coalesce("tourney_date", "_last")).drop("_last")
     frame = features_asof(pairs, rated)
     scored = decide(model.score(frame))
     return scored.withColumn("h2h", format_h2h(F.col("h2h_wins"), F.col("h2h_losses"), F.col("player1")))

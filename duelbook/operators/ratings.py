@@ -1,17 +1,19 @@
 """Elo ratings over ordered contests.
 
 Within a pool (a tour and surface, say) each contest needs both players' ratings as the contests
-before it left them.  Two exact ways share the arithmetic:
-
-* ``_fold``: a pool up to ``pool_rows`` contests streams once, in order, through one task; the task
-  holds one number pair per player.  Different pools run in parallel.
-* ``_relax``: a larger pool is cut into time slices.  Inside a slice every player's own contests
-  are walked in parallel, against the opponents' ratings as known so far; each contest then hands
-  its new rating to the opponent's copy of that contest, and this repeats until nothing changes.
-  A contest is right one round after the contests before it are right, so the rounds
-  end, and they end at exactly the ratings the one-by-one walk gives.  No task ever holds a pool.
-
-Only key and order columns travel; the ratings are joined back to the contests by their key.
+before it left them.  How many players a pool has says how much of it can run side by side:
+
+* ``_fold``: a pool of up to ``crowd`` players is one chain.  It streams in order through a task that
+  holds one number pair per player, in chunks of ``chunk_rows`` contests that start from the stored
+  ratings of the one before, so a lost executor costs a chunk.  Different pools run in parallel.
+* ``_settle``: a pool of more players is cut into time slices of about four contests per player.
+  Inside a slice every player's own contests are walked in parallel, against the opponents' ratings
+  as known so far; each contest then hands its new rating to the opponent's copy of that contest, and
+  this repeats until nothing changes.  A contest is right one round after the contests before it are
+  right, so the rounds end, and they end at exactly the ratings the one-by-one walk gives.
+
+Both give the same bits.  A contest of a player against itself is rated nowhere.  Only key and order
+columns travel; the ratings are joined back to the contests by date, number and players.
 """
 
 from __future__ import annotations
@@ -30,15 +32,16 @@ from duelbook.schema import (
 )
 from duelbook.session import Relay, scratch_path
 
-POOL_ROWS = 5_000_000
-SLICE_ROWS = (1_000_000, 1_000_000_000)  # the bounds of a time slice of a larger pool
+CROWD = 1_000_000  # players of a pool that one task holds
+CHUNK_ROWS = 20_000_000  # contests of such pools walked before their ratings are stored
+SLICE_ROWS = 1_000_000_000  # the most of a time slice of a larger pool
 PLAYER_ROWS = 20_000_000  # of one player in a slice
 KEY = ["pool", "d", "r", "m"]  # pool, then the order inside it: date, round, contest number
 
 
-BOUT_SCHEMA = "pool string, m long, w_pre double, l_pre double, w_post double, l_post double, w_n long, l_n long"
+BOUT_SCHEMA = "pool string, d date, r long, m long, w long, l long, w_pre double, l_pre double, w_post double, l_post double, w_n long, l_n long"
 BOUT_ARROW = pa.schema(
-    [("pool", pa.string()), ("m", pa.int64())]
+    [("pool", pa.string()), ("d", pa.date32())] + [(c, pa.int64()) for c in ("r", "m", "w", "l")]
     + [(c, pa.float64()) for c in ("w_pre", "l_pre", "w_post", "l_post")]
     + [(c, pa.int64()) for c in ("w_n", "l_n")]
 )
@@ -133,7 +136,7 @@ def _fold(bouts: DataFrame, state: DataFrame | None, k: float | None, start: flo
                 made = play(w[mid:hi].tolist(), l[mid:hi].tolist(), elos, counts)
                 part = batch.slice(mid, hi - mid)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("pool"), part.column("m"), *map(pa.array, made)], schema=schema)
+                    [*(part.column(c) for c in ("pool", "d", "r", "m", "w", "l")), *map(pa.array, made)], schema=schema)
 
     ordered = rows.repartition("pool").sortWithinPartitions("pool", F.desc("carried"), "d", "r", "m")
     return ordered.mapInArrow(walk, BOUT_SCHEMA)
@@ -200,78 +203,101 @@ def _slice_rows(bouts: DataFrame) -> DataFrame:
     players = views.groupBy("pool", "player").agg(F.count("*").alias("n"))
     pools = players.groupBy("pool").agg(F.count("*").alias("crowd"), F.max("n").alias("most"), F.sum("n").alias("views"))
     hot = F.lit(PLAYER_ROWS) * F.col("views") / (2 * F.col("most"))
-    low, high = SLICE_ROWS
-    wanted = F.greatest(F.lit(low), F.least(4 * F.col("crowd"), hot, F.lit(high)))
+    wanted = F.greatest(F.lit(1), F.least(4 * F.col("crowd"), hot, F.lit(SLICE_ROWS)))
     return pools.select("pool", wanted.cast("long").alias("slice_rows"))
 
 
-def _relax(bouts: DataFrame, state: DataFrame | None, k: float | None, start: float, slice_rows: int | None) -> DataFrame:
+def _settle(part: DataFrame, state: DataFrame, k: float | None, start: float, rounds: Relay) -> DataFrame:
+    """One time slice of pools with many players."""
+    # one scan, two views of each contest
+    views = part.select(
+        *KEY, F.explode(F.array(
+            F.struct(F.col("w").alias("player"), F.col("l").alias("opponent"), F.lit(1).cast("long").alias("win")),
+            F.struct(F.col("l").alias("player"), F.col("w").alias("opponent"), F.lit(0).cast("long").alias("win")),
+        )).alias("v"),
+    ).select(*KEY, "v.*")
+    opponents = state.select(
+        "pool", F.col("player").alias("opponent"), F.col("elo").alias("opp_elo"), F.col("n").alias("opp_count"))
+    views = views.join(state, ["pool", "player"], "left").join(opponents, ["pool", "opponent"], "left")
+    first, opp_first = F.coalesce("elo", F.lit(start)), F.coalesce("opp_elo", F.lit(start))
+    unknown, uncounted = F.lit(None).cast("double"), F.lit(None).cast("long")
+    views = views.select(
+        "pool", "player", "opponent", "win", "d", "r", "m",
+        first.alias("start"), F.coalesce("n", F.lit(0)).alias("played"),
+        opp_first.alias("opp_start"), F.coalesce("opp_count", F.lit(0)).alias("opp_played"),
+        unknown.alias("own_pre"), unknown.alias("own_post"), uncounted.alias("own_n"),
+        opp_first.alias("opp_pre"), unknown.alias("opp_post"), uncounted.alias("opp_n"),
+        F.lit(1).cast("long").alias("moved"),
+    )
+    return _relax_slice(views, k, rounds).where("win = 1").select(
+        "pool", "d", "r", "m", F.col("player").alias("w"), F.col("opponent").alias("l"),
+        F.col("own_pre").alias("w_pre"), F.col("opp_pre").alias("l_pre"),
+        F.col("own_post").alias("w_post"), F.col("opp_post").alias("l_post"),
+        F.col("own_n").alias("w_n"), F.col("opp_n").alias("l_n"),
+    )
+
+
+def _in_slices(bouts: DataFrame, state: DataFrame | None, sizes: DataFrame, step) -> DataFrame:
+    """Rate time slices of ``sizes(pool, slice_rows)`` one after the other, each on what the one before left."""
     spark = bouts.sparkSession
-    rounds, states = Relay(spark, "rounds"), Relay(spark, "state")
+    states = Relay(spark, "state")
     per_date = bouts.groupBy("pool", "d").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("pool").orderBy("d")) - F.col("rows")
-    sizes = _slice_rows(bouts) if slice_rows is None else per_date.select("pool", F.lit(slice_rows).alias("slice_rows")).distinct()
     dated = per_date.withColumn("before", before).join(sizes, "pool")
-    slices = dated.select("pool", "d", F.floor(F.col("before") / F.col("slice_rows")).alias("slice"))
+    slices = dated.select(F.col("pool").alias("_pool"), F.col("d").alias("_d"), F.floor(F.col("before") / F.col("slice_rows")).alias("slice"))
     sliced_path, done_path = scratch_path(spark, "slices"), scratch_path(spark, "rated")
-    bouts.join(slices, ["pool", "d"]).write.partitionBy("slice").parquet(sliced_path)
+    cut = bouts.join(slices, (F.col("pool") == F.col("_pool")) & F.col("d").eqNullSafe(F.col("_d"))).drop("_pool", "_d")
+    cut.write.partitionBy("slice").parquet(sliced_path)
     sliced = spark.read.parquet(sliced_path)
     numbers = [row.slice for row in sliced.select("slice").distinct().orderBy("slice").collect()]
 
     if state is None:
         state = spark.createDataFrame([], "pool string, player long, elo double, n long")
     for number in numbers:
-        # one scan, two views of each contest
-        views = sliced.where(F.col("slice") == number).select(
-            *KEY, F.explode(F.array(
-                F.struct(F.col("w").alias("player"), F.col("l").alias("opponent"), F.lit(1).cast("long").alias("win")),
-                F.struct(F.col("l").alias("player"), F.col("w").alias("opponent"), F.lit(0).cast("long").alias("win")),
-            )).alias("v"),
-        ).select(*KEY, "v.*")
-        opponents = state.select(
-            "pool", F.col("player").alias("opponent"), F.col("elo").alias("opp_elo"), F.col("n").alias("opp_count"))
-        views = views.join(state, ["pool", "player"], "left").join(opponents, ["pool", "opponent"], "left")
-        first, opp_first = F.coalesce("elo", F.lit(start)), F.coalesce("opp_elo", F.lit(start))
-        unknown, uncounted = F.lit(None).cast("double"), F.lit(None).cast("long")
-        views = views.select(
-            "pool", "player", "opponent", "win", "d", "r", "m",
-            first.alias("start"), F.coalesce("n", F.lit(0)).alias("played"),
-            opp_first.alias("opp_start"), F.coalesce("opp_count", F.lit(0)).alias("opp_played"),
-            unknown.alias("own_pre"), unknown.alias("own_post"), uncounted.alias("own_n"),
-            opp_first.alias("opp_pre"), unknown.alias("opp_post"), uncounted.alias("opp_n"),
-            F.lit(1).cast("long").alias("moved"),
-        )
-        settled = _relax_slice(views, k, rounds)
-        settled.where("win = 1").select(
-            "pool", "m",
-            F.col("own_pre").alias("w_pre"), F.col("opp_pre").alias("l_pre"),
-            F.col("own_post").alias("w_post"), F.col("opp_post").alias("l_post"),
-            F.col("own_n").alias("w_n"), F.col("opp_n").alias("l_n"),
-        ).write.mode("append").parquet(done_path)
-        last = settled.groupBy("pool", "player").agg(
-            F.max_by(F.struct("own_post", "own_n"), F.struct("d", "r", "m")).alias("last"))
-        last = last.select("pool", "player", F.col("last.own_post").alias("elo"), (F.col("last.own_n") + 1).alias("n"))
+        path = f"{done_path}/part={number}"
+        step(sliced.where(F.col("slice") == number).select(*KEY, "w", "l"), state).write.parquet(path)
+        rated = spark.read.schema(BOUT_SCHEMA).parquet(path)
+        ends = rated.select("pool", "d", "r", "m", F.explode(F.array(*[
+            F.struct(F.col(p).alias("player"), F.col(f"{p}_post").alias("post"), F.col(f"{p}_n").alias("played")) for p in ("w", "l")
+        ])).alias("v")).select("pool", "d", "r", "m", "v.*")
+        last = ends.groupBy("pool", "player").agg(F.max_by(F.struct("post", "played"), F.struct("d", "r", "m")).alias("last"))
+        last = last.select("pool", "player", F.col("last.post").alias("elo"), (F.col("last.played") + 1).alias("n"))
         state = states.keep(state.join(last, ["pool", "player"], "left_anti").unionByName(last))
-    return spark.read.parquet(done_path)
+    return spark.read.schema(BOUT_SCHEMA).parquet(*[f"{done_path}/part={number}" for number in numbers])
 
 
 def rate(
     bouts: DataFrame, k: float | None, start: float = START_ELO, state: DataFrame | None = None,
-    pool_rows: int = POOL_ROWS, slice_rows: int | None = None,
+    crowd: int = CROWD, chunk_rows: int = CHUNK_ROWS, slice_rows: int | None = None,
 ) -> DataFrame:
     """Ratings before and after each contest of ``bouts(pool, d, r, m, w, l)``.
 
     ``k`` None means the career rule.  ``state(pool, player, elo, n)`` carries earlier ratings in.
-    ``m`` must be unique in its pool.
+    ``m`` must be unique among a pool's contests of one day and two players.
     """
-    sizes = bouts.groupBy("pool").agg(F.count("*").alias("rows"))
-    large = sizes.where(F.col("rows") > pool_rows).select("pool")
-    if large.isEmpty():
+    bouts = bouts.where("w <> l")
+    pools = bouts.groupBy("pool").agg(
+        F.count("*").alias("rows"), F.greatest(F.approx_count_distinct("w"), F.approx_count_distinct("l")).alias("players"))
+    kinds = pools.groupBy().agg(
+        F.count_if(F.col("players") > crowd).alias("wide"), F.count_if(F.col("players") <= crowd).alias("narrow"),
+        F.count_if(F.col("rows") > chunk_rows).alias("long")).first()
+    if not kinds.wide and not kinds.long:
         return _fold(bouts, state, k, start)
-    small_state = state.join(large, "pool", "left_anti") if state is not None else None
-    large_state = state.join(large, "pool", "left_semi") if state is not None else None
-    small = _fold(bouts.join(large, "pool", "left_anti"), small_state, k, start)
-    return small.unionByName(_relax(bouts.join(large, "pool", "left_semi"), large_state, k, start, slice_rows))
+    wide = pools.where(F.col("players") > crowd).select("pool")
+
+    def own(df, how):
+        return df.join(wide, "pool", how) if df is not None else None
+
+    rounds = Relay(bouts.sparkSession, "rounds")
+    narrow, many = own(bouts, "left_anti"), own(bouts, "left_semi")
+    sizes = _slice_rows(many) if slice_rows is None else wide.withColumn("slice_rows", F.lit(slice_rows))
+    chunks = pools.where(F.col("players") <= crowd).select("pool", F.lit(chunk_rows).alias("slice_rows"))
+    out = []
+    if kinds.wide:
+        out.append(_in_slices(many, own(state, "left_semi"), sizes, lambda part, known: _settle(part, known, k, start, rounds)))
+    if kinds.narrow:
+        out.append(_in_slices(narrow, own(state, "left_anti"), chunks, lambda part, known: _fold(part, known, k, start)))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def _pool(keys) -> Column:
@@ -280,12 +306,12 @@ def _pool(keys) -> Column:
 
 def _attach(matches: DataFrame, rated: DataFrame, pool: Column, names: dict[str, str], how: str) -> DataFrame:
     """Put the ratings next to their contests."""
-    narrow = rated.select(F.col("pool").alias("_pool"), F.col("m").alias("_m"),
-                          *[F.col(a).alias(b) for a, b in names.items()])
-    joined = matches.withColumn("_key", pool).join(
-        # contest number first: the join sorts by it, and numbers sort faster than texts
-        narrow, (F.col("match_num") == F.col("_m")) & (F.col("_key") == F.col("_pool")), how)
-    return joined.drop("_key", "_pool", "_m")
+    narrow = rated.select(*[F.col(c).alias(f"_{c}") for c in ("pool", "d", "m", "w", "l")], *[F.col(a).alias(b) for a, b in names.items()])
+    same = (
+        # numbers first: the join sorts by them, and numbers sort faster than texts
+        (F.col("match_num") == F.col("_m")) & (F.col("winner_id") == F.col("_w")) & (F.col("loser_id") == F.col("_l"))
+        & F.col("tourney_date").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_pool")))
+    return matches.withColumn("_key", pool).join(narrow, same, how).drop("_key", "_pool", "_d", "_m", "_w", "_l")
 
 
 def surface_elo(
@@ -294,7 +320,7 @@ def surface_elo(
 ) -> DataFrame:
     """Rated contests: each pool on its own, by date and contest number, ratings as before it.
 
-    A contest without a surface stays, with NULL ratings.
+    A contest without a surface, or of a player against itself, stays with NULL ratings.
     """
     pool = F.when(F.col(keys[-1]).isNotNull(), _pool(keys))
     bouts = matches.where(F.col(keys[-1]).isNotNull()).select(
@@ -321,6 +347,7 @@ def overall_elo(
     """One pool per tour under the career K, by date, round and contest number.
 
     Adds ``winner_elo_pre/post``, ``loser_elo_pre/post`` and contests played before this one.
+    Contests of a player against itself are left out.
     """
     if players is not None:
         matches = known_players(matches, players)

@@ -44,8 +44,8 @@ def d3(spark, sf):
 
 @query("d3_surface_elo_sliced", RATED_SQL, "rated_ev")
 def d3_sliced(spark, sf):
-    """The way for pools too large for one task, forced by a small bound."""
-    return _show_rated(surface_elo(contests(spark, sf), pool_rows=500, slice_rows=600))
+    """The way for pools of many players, forced by a small bound."""
+    return _show_rated(surface_elo(contests(spark, sf), crowd=10, slice_rows=600))
 
 
 @query("d4_k_factor", """
@@ -74,7 +74,7 @@ def d5(spark, sf):
 
 @query("d5_overall_elo_sliced", OVERALL_SQL, "overall_ev")
 def d5_sliced(spark, sf):
-    return _show_overall(overall_elo(contests(spark, sf), view(spark, sf, "players_v"), pool_rows=500, slice_rows=2000))
+    return _show_overall(overall_elo(contests(spark, sf), view(spark, sf, "players_v"), crowd=10, slice_rows=2000))
 
 
 @query("d6_known_players", """

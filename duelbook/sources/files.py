@@ -39,10 +39,11 @@ def read_matches(
     spark: SparkSession, folder: str, tour: str = "atp", years=range(FIRST_YEAR, LAST_YEAR + 1),
     tiers=("tour",), encoding: str = "UTF-8", strict_dates: bool = True, layout: dict[str, str] = TIER_FILES,
 ) -> DataFrame:
-    """Yearly contest files of one tour, each tier in one scan, columns aligned by name.
+    """Yearly contest files of one tour, columns aligned by name; one scan per tier and header.
 
     Every year's tour file must exist; other tiers may miss years or be absent altogether.
-    ``years`` None takes every year found.  ``layout`` names each tier's file or folder.
+    ``years`` None takes every year found.  ``layout`` names each tier's file or folder.  ``tour`` is
+    added where the files do not have it.
     """
     reader = spark.read.option("header", True).option("encoding", encoding)
     frames = []
@@ -55,16 +56,20 @@ def read_matches(
         else:
             paths = [pattern.format(tour=tour, year="{" + ",".join(map(str, years)) + "}")]
         try:
-            found = reader.csv(paths)
+            files = spark.read.text(paths).inputFiles()
         except AnalysisException as error:
             if tier != "tour" and error.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
-        frames.append(_typed(found, MATCH_SCHEMA, strict_dates).withColumn("tier", F.lit(tier)))
+        headers: dict[tuple, list[str]] = {}
+        for file in sorted(files):
+            headers.setdefault(tuple(reader.csv(file).columns), []).append(file)
+        for same in headers.values():
+            frames.append(_typed(reader.csv(same), MATCH_SCHEMA, strict_dates).withColumn("tier", F.lit(tier)))
     matches = frames[0]
     for more in frames[1:]:
         matches = matches.unionByName(more, allowMissingColumns=True)
-    return matches
+    return matches if "tour" in matches.columns else matches.withColumn("tour", F.lit(tour))
 
 
 def read_players(spark: SparkSession, path: str) -> DataFrame:

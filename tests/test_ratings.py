@@ -49,7 +49,7 @@ def test_surface_elo_is_the_plain_walk(random_matches):
 
 def test_sliced_pools_give_the_same_bits(random_matches):
     expected = walk(by_surface(random_matches), career=False)
-    rows = surface_elo(random_matches, pool_rows=300, slice_rows=250, post=True).where("surface is not null").collect()
+    rows = surface_elo(random_matches, crowd=5, slice_rows=250, post=True).where("surface is not null").collect()
     assert len(rows) == len(expected)
     for r in rows:
         assert (r.winner_surface_elo, r.loser_surface_elo, r.winner_elo_post, r.loser_elo_post) == expected[r.match_num]
@@ -57,7 +57,7 @@ def test_sliced_pools_give_the_same_bits(random_matches):
 
 def test_overall_elo_both_ways(random_matches):
     expected = walk(by_round(random_matches), career=True)
-    for sizes in ({}, {"pool_rows": 100, "slice_rows": 500}):
+    for sizes in ({}, {"crowd": 5, "slice_rows": 500}):
         rows = overall_elo(random_matches, **sizes).collect()
         assert len(rows) == 1200
         for r in rows:
@@ -78,7 +78,7 @@ def test_resume_equals_one_run(random_matches):
     first = overall_elo(random_matches.where(F.col("tourney_date") <= cut))
     state = rating_state(tables.snapshot(tables.rating_rows(first)))
     rest = random_matches.where(F.col("tourney_date") > cut)
-    for sizes in ({}, {"pool_rows": 50, "slice_rows": 200}):
+    for sizes in ({}, {"crowd": 5, "slice_rows": 200}):
         for r in overall_elo(rest, state=state, **sizes).collect():
             assert abs(r.winner_elo_post - full[r.match_num]) < 1e-9
 
@@ -145,3 +145,25 @@ def test_arrivals_equal_one_run(spark, random_matches, tmp_path):
         raise AssertionError("an older contest was accepted")
     except Exception as error:
         assert "arrive after" in str(error)
+
+
+def test_chunks_and_contests_against_oneself(spark, random_matches):
+    """Chunks of a long pool give the one-by-one bits; a contest against oneself is rated nowhere."""
+    more = random_matches.where("match_num < 40").select(
+        (F.col("match_num") + 5000).alias("match_num"), "tour", "tourney_date", "surface", "round", "winner_id",
+        F.col("winner_id").alias("loser_id"), "winner_name", F.col("winner_name").alias("loser_name"))
+    both = random_matches.unionByName(more)
+    columns = ["match_num", "winner_surface_elo", "loser_surface_elo"]
+    plain = sorted(map(tuple, surface_elo(random_matches).select(*columns).collect()))
+    for sizes in ({}, {"chunk_rows": 60}, {"crowd": 5, "slice_rows": 250}):
+        rows = sorted(map(tuple, surface_elo(both, **sizes).select(*columns).collect()))
+        assert rows[: len(plain)] == plain
+        assert all(r[1] is None and r[2] is None for r in rows[len(plain):])
+
+
+def test_numbers_may_repeat_between_tournaments(spark, random_matches):
+    """Two tournaments that both have a contest 1 stay two rows each with its own ratings."""
+    rows = random_matches.where("surface is not null")
+    again = rows.withColumn("match_num", F.col("match_num") % 30)
+    keys = ["tourney_date", "winner_id", "loser_id", "surface"]
+    assert again.dropDuplicates(["match_num", *keys]).count() == surface_elo(again.dropDuplicates(["match_num", *keys])).count()
