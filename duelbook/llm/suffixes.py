@@ -323,7 +323,7 @@ def contexts_of(ranges: int, length: int, gram: int):
     return run
 
 
-def sorted_parts(length: int):
+def sorted_parts(ranges: int, length: int):
     """Repeats among the contexts of one part, and first places of minimizers that were dealt over several parts."""
 
     def run(frame):
@@ -350,27 +350,27 @@ def sorted_parts(length: int):
             marked.append((rows[own[of]], starts[own[of]] + offset, n))
             for i, o in zip(own[first_of], first_offset):
                 if salts[i]:
-                    met.append((hashlib.blake2b(contexts[i][o : o + length], digest_size=16).digest(), orders[i], rows[i], starts[i] + o))
+                    met.append((hashlib.blake2b(contexts[i][o : o + length], digest_size=16).digest(), i, o))
         if marked:
             out += marks_out(*(np.concatenate([m[i] for m in marked]) for i in range(3)))
-        for i, (digest, order, row, start) in enumerate(met):
-            out.append((2, i, to_blob(np.frombuffer(digest, np.uint8), np.array([order, row, start], np.int64))))
+        if met:
+            digests = np.frombuffer(b"".join(m[0] for m in met), np.uint64).reshape(-1, 2)
+            at, offset = np.array([m[1] for m in met]), np.array([m[2] for m in met])
+            high, low = digests[:, 0].copy(), digests[:, 1].copy()
+            out += [(2, part, blob) for part, blob in by_range(key_range(high, ranges), high, low, orders[at], rows[at], starts[at] + offset)]
         return pd.DataFrame(out, columns=["kind", "part", "blob"])
 
     return run
 
 
-def unpack_places(frames):
-    for frame in frames:
-        found = [from_blob(b) for b in frame["blob"]]
-        yield pd.DataFrame([(f[0].tobytes(), *f[1].tolist()) for f in found], columns=["digest", "order", ROW, "start"])
-
-
 def later_places(frame: pd.DataFrame) -> pd.DataFrame:
-    """All but the first place of a string that several parts of one minimizer hold; one row per part at most."""
-    later = frame.sort_values(["order", ROW, "start"]).iloc[1:]
-    rows = later[ROW].to_numpy(np.int64)
-    found = list(marks_out(rows, later["start"].to_numpy(np.int64), np.ones(len(rows), np.int64))) if len(rows) else []
+    """All but the first place of the strings of one digest range; a place comes once from each part that holds it."""
+    parts = [from_blob(b) for b in frame["blob"]]
+    high, low, order, rows, starts = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    by = np.lexsort((starts, rows, order, low, high))
+    again = np.append(False, (high[by][1:] == high[by][:-1]) & (low[by][1:] == low[by][:-1]))
+    later = by[again]
+    found = list(marks_out(rows[later], starts[later], np.ones(len(later), np.int64)))
     return pd.DataFrame([(bucket, blob) for _, bucket, blob in found], columns=["part", "blob"])
 
 
@@ -415,9 +415,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     shared = local.groupBy("range").applyInPandas(shared_keys, "bucket long, blob binary")
     pieces = "kind int, part long, blob binary"
     contexts = stored(bucketed.cogroup(shared.groupBy("bucket")).applyInPandas(contexts_of(ranges, length, gram), pieces), "contexts")
-    found = stored(contexts.where("kind = 0").groupBy("part").applyInPandas(sorted_parts(length), pieces), "repeats")
-    places = found.where("kind = 2").select("blob").mapInPandas(unpack_places, f"digest binary, order long, {ROW} long, start long")
-    met = places.groupBy("digest").applyInPandas(later_places, "part long, blob binary")
+    found = stored(contexts.where("kind = 0").groupBy("part").applyInPandas(sorted_parts(ranges, length), pieces), "repeats")
+    met = found.where("kind = 2").groupBy("part").applyInPandas(later_places, "part long, blob binary")
     marks = contexts.where("kind = 1").select("part", "blob").union(found.where("kind = 1").select("part", "blob")).union(met)
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
     return bucketed.cogroup(marks.groupBy("part")).applyInPandas(cut_out(length, keep_text), shape)
