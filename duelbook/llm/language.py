@@ -79,12 +79,17 @@ def fit(train: DataFrame, sample: int = SAMPLE):
     def extract(frames):
         for frame in chunks(frames):
             frame = frame[[bool(LETTER.search(text)) for text in frame["text"]]]
-            yield pd.DataFrame({"lang": frame["lang"], "share": [gram_share(text).tobytes() for text in frame["text"]]})
+            shares = [gram_share(text) for text in frame["text"]]
+            filled = [np.flatnonzero(share) for share in shares]
+            yield pd.DataFrame({"lang": frame["lang"], "grams": [at.astype(np.uint16).tobytes() for at in filled],
+                                "share": [share[at].tobytes() for share, at in zip(shares, filled)]})
 
-    rows = chosen.mapInPandas(extract, "lang string, share binary").toPandas()
+    rows = chosen.mapInPandas(extract, "lang string, grams binary, share binary").toPandas()
     if not len(rows):
         return [], None, None, None
-    features = np.frombuffer(b"".join(rows["share"]), np.float32).reshape(len(rows), DIMS)
+    features = np.zeros((len(rows), DIMS), np.float32)
+    for i, (grams, share) in enumerate(zip(rows["grams"], rows["share"])):
+        features[i, np.frombuffer(grams, np.uint16)] = np.frombuffer(share, np.float32)
     code = codewords(len(languages))
     where = {lang: i for i, lang in enumerate(languages)}
     weights, bias = fit_bits(features, code[[where[lang] for lang in rows["lang"]]])
