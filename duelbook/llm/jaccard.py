@@ -7,10 +7,13 @@ are needed is found without a common n-gram's group ever being formed:
    follows from the smaller set's size. The hash space is cut into P > H equal parts; a pair must agree wholly on one
    part, so each set emits one signature per part. Sets with H or fewer filled parts also emit their H + 1 smallest
    n-grams, of which a linked pair shares one. Nothing is missed.
-2. Sets that share a signature make clusters. Only their texts move, several small clusters to a task, large ones as
-   pairs of blocks.
-3. In a task the product counts overlaps; pairs whose sizes alone rule them out are discarded, the others are compared
-   exactly. Links go on as a forest and as counts, never as all pairs.
+2. Sets that share a signature make clusters; only their texts move on. A cluster of more than a block is parted anew:
+   its sets are compared only within groups of one signature, by parity sketches of a few bits an n-gram. Each
+   n-gram of a symmetric difference turns one bit, so sketches that differ in more bits than a linked pair may have
+   n-grams apart rule the pair out, never wrongly. What is left makes the clusters of the products.
+3. Several small clusters go to a task, large ones as pairs of blocks. In a task the product counts overlaps; pairs
+   whose sizes alone rule them out are discarded, the others are compared exactly. Links go on as a forest and as
+   counts, never as all pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ FLUSH = 1_000_000  # signatures held before they are handed on
 BLOCK = 512  # documents on one side of a product
 COLUMNS = 8_192  # n-grams of one product
 BATCH = 1_000  # documents of small clusters in one task
+ENTRIES = 20_000  # members of signature groups in one task
+PAIR_BYTES = 32_000_000  # sketches of the pairs compared at once
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,6 +158,127 @@ def range_links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a.view(np.int64) if len(a) else a.astype(np.int64), "b": np.ascontiguousarray(b).view(np.int64) if len(b) else b.astype(np.int64)})
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the set's numbers at each low end of the hash: at least 64 bits, two to four for each of its members."""
+    bits = max(64, 2 << (len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool))
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """The same sets' sketches of ``width`` bytes: halves are added until they fit."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+SKETCH = f"{ROW} long, n long, bits binary, keys array<long>"
+
+
+def sketches(n: int, num: int, den: int):
+    def run(frames):
+        for frame in chunks(frames):
+            rows = []
+            for row, text in zip(frame[ROW], frame["text"]):
+                h = grams(text, n)
+                rows.append((row, len(h), sketch(h).tobytes(), np.unique(signatures(h, num, den)).view(np.int64)))
+            yield pd.DataFrame(rows, columns=[ROW, "n", "bits", "keys"])
+
+    return run
+
+
+def pairs_of(starts: np.ndarray, size: int, side: np.ndarray):
+    """Positions of the pairs in groups of one ``size``, a bounded number at a time; across only, where sides are given."""
+    i, j = np.triu_indices(size, 1)
+    step = max(1, 500_000 // max(1, len(i)))
+    for k in range(0, len(starts), step):
+        begin = starts[k : k + step, None]
+        a, b = (begin + i).ravel(), (begin + j).ravel()
+        across = (side[a] < 0) | (side[a] != side[b])
+        yield a[across], b[across]
+
+
+def near_sketches(num: int, den: int):
+    """Of each group's pairs, a forest of those whose sizes and sketches allow a link."""
+
+    def run(frame):
+        by = np.lexsort((frame[ROW].to_numpy(), frame["task"].to_numpy()))
+        frame = frame.iloc[by]
+        tasks, side = frame["task"].to_numpy(), frame["side"].to_numpy()
+        rows, number = np.unique(frame[ROW].to_numpy(), return_inverse=True)
+        size, bits = np.zeros(len(rows), np.int64), [b""] * len(rows)
+        size[number] = frame["n"].to_numpy()
+        for k, b in zip(number.tolist(), frame["bits"]):
+            bits[k] = b
+        width = np.array([len(b) for b in bits])
+        stacks, place = {}, np.zeros(len(rows), np.int64)
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            place[own] = np.arange(len(own))
+            stacks[w] = np.frombuffer(b"".join(bits[k] for k in own), np.uint8).reshape(len(own), w)
+
+        def near(a, b):
+            """Which pairs of sets differ in few enough bits."""
+            keep = np.zeros(len(a), bool)
+            wide, narrow = np.maximum(width[a], width[b]), np.minimum(width[a], width[b])
+            for w, v in np.unique(np.stack([wide, narrow], 1), axis=0).tolist():
+                here = np.flatnonzero((wide == w) & (narrow == v))
+                step = max(1, PAIR_BYTES // w)
+                for k in range(0, len(here), step):
+                    at = here[k : k + step]
+                    x, y = np.where(width[a[at]] == w, a[at], b[at]), np.where(width[a[at]] == w, b[at], a[at])
+                    apart = folded(stacks[w][place[x]], v) ^ stacks[v][place[y]]
+                    apart = np.bitwise_count(apart).sum(1, dtype=np.int64)
+                    keep[at] = apart * (den + num) <= (den - num) * (size[x] + size[y])
+            return keep
+
+        starts = np.flatnonzero(np.append(True, tasks[1:] != tasks[:-1]))
+        length = np.diff(np.append(starts, len(tasks)))
+        head, links = list(range(len(rows))), []
+        for m in np.unique(length[length > 1]).tolist():
+            for a, b in pairs_of(starts[length == m], m, side):
+                a, b = number[a], number[b]
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                code = np.unique((a * len(rows) + b)[(low * den >= high * num) & (a != b)])
+                a, b = code // len(rows), code % len(rows)
+                keep = near(a, b)
+                links += forest(a[keep], b[keep], head)
+        return pd.DataFrame({"a": [rows[x] for x, _ in links], "b": [rows[y] for _, y in links]}, dtype="int64")
+
+    return run
+
+
+def in_blocks(spark, members: DataFrame, group: str, count: str, batches: int, *more: str) -> DataFrame:
+    """``members`` with ``task, side, batch``: a group of one block is a task, a larger one a task for each two blocks."""
+    rows = members.withColumn("blocks", F.ceil(F.col(count) / BLOCK).cast("long"))
+    small = rows.where("blocks = 1").select(
+        ROW, *more, F.col(group).alias("task"), F.lit(-1).alias("side"), F.pmod(F.xxhash64(group), F.lit(batches)).alias("batch"))
+    own = F.pmod(F.xxhash64(ROW), F.col("blocks"))
+    large = rows.where("blocks > 1").select(
+        ROW, *more, group, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))
+    alone = F.col("own") == F.col("other")
+    side = F.when(alone, -1).otherwise(F.col("own")).cast("int").alias("side")
+    return small.union(large.select(ROW, *more, pair.alias("task"), side, pair.alias("batch")))
+
+
+def parted(held: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``(ROW, component)``: clusters of the rows of ``held`` whose sketches allow a link; rows without a partner are left out."""
+    spark = held.sparkSession
+    made = stored(held.select(ROW, "text").mapInPandas(sketches(n, num, den), SKETCH), "sketches")
+    keys = made.select(ROW, F.explode("keys").alias("key"))
+    mark = (F.count("*").alias("m"), F.bit_xor(F.xxhash64(ROW)).alias("x"), F.bit_xor(F.xxhash64(ROW, F.lit(1))).alias("y"))
+    groups = keys.groupBy("key").agg(*mark).where("m > 1")
+    groups = stored(groups.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "groups")
+    batches = max(1, -(-(groups.agg(F.sum("m")).first()[0] or 0) // ENTRIES))
+    entries = keys.join(groups.hint("merge"), "key")
+    tasks = in_blocks(spark, entries, "key", "m", batches).join(made.select(ROW, "n", "bits").hint("merge"), ROW)
+    tasks = tasks.repartition(shuffle_parts(spark), "batch").groupBy("batch")
+    return components(tasks.applyInPandas(near_sketches(num, den), "a long, b long")).withColumnRenamed("node", ROW)
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections: the incidence matrix times its transpose, a block of columns at a time."""
     m = len(sets)
@@ -172,8 +298,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return found.astype(np.int64)
 
 
-def forest(a: np.ndarray, b: np.ndarray, m: int) -> list[tuple[int, int]]:
-    head, out = list(range(m)), []
+def forest(a: np.ndarray, b: np.ndarray, head: list[int]) -> list[tuple[int, int]]:
+    """The links that join parts not joined yet; ``head`` keeps what is joined."""
+    out = []
 
     def top(x):
         while head[x] != x:
@@ -211,7 +338,7 @@ def product_links(n: int, num: int, den: int):
                 a, b = np.nonzero(may & (o * den >= num * (both - o)))
                 degree = np.bincount(np.append(a, b), minlength=len(sets))
                 rows_out += [(rows[begin + i], rows[begin + i], int(degree[i])) for i in np.flatnonzero(degree)]
-                rows_out += [(rows[begin + x], rows[begin + y], 0) for x, y in forest(a, b, len(sets))]
+                rows_out += [(rows[begin + x], rows[begin + y], 0) for x, y in forest(a, b, list(range(len(sets))))]
         return pd.DataFrame(rows_out, columns=["a", "b", "links"])
 
     return run
@@ -238,17 +365,16 @@ def join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
 
     members = classes.join(clusters.withColumnRenamed("node", "lo"), "lo").select(ROW, "component")
     members = stored(members, "members")
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    placed = members.join(members.groupBy("component").agg(F.count("*").alias("m")), "component")
+    # Both sides grow with the rows: never a broadcast, whatever the size.
+    held = stored(docs.select(ROW, "text").join(placed.hint("merge"), ROW), "held")
+    finer = stored(parted(held.where(F.col("m") > BLOCK), n, num, den), "finer")
+    finer = finer.join(finer.groupBy("component").agg(F.count("*").alias("m")), "component")
     batches = max(1, -(-members.count() // BATCH))
-    placed = members.join(sizes, "component")
-    small = placed.where("blocks = 1").select(
-        ROW, F.col("component").alias("task"), F.lit(-1).alias("side"), F.pmod(F.xxhash64("component"), F.lit(batches)).alias("batch"))
-    own = F.pmod(F.xxhash64(ROW), F.col("blocks"))
-    large = placed.where("blocks > 1").select(ROW, "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pair = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    alone = F.col("own") == F.col("other")
-    large = large.select(ROW, pair.alias("task"), F.when(alone, -1).otherwise(F.col("own")).cast("int").alias("side"), pair.alias("batch"))
-    tasks = docs.select(ROW, "text").join(small.union(large), ROW).repartition(shuffle_parts(spark), "batch").groupBy("batch")
+    again = held.where(F.col("m") > BLOCK).select(ROW, "text").join(finer.hint("merge"), ROW)
+    tasks = in_blocks(spark, held.where(F.col("m") <= BLOCK), "component", "m", batches, "text")
+    tasks = tasks.union(in_blocks(spark, again, "component", "m", batches, "text"))
+    tasks = tasks.repartition(shuffle_parts(spark), "batch").groupBy("batch")
     linked = stored(tasks.applyInPandas(product_links(n, num, den), "a long, b long, links long"), "similar")
 
     named = components(linked.where("a <> b").select("a", "b")).withColumnRenamed("node", ROW)

@@ -143,6 +143,40 @@ def test_signatures_of_linked_sets_meet():
                 assert len(np.intersect1d(jaccard.signatures(a, num, den), jaccard.signatures(b, num, den)))
 
 
+def test_sketches_never_part_linked_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300)), dtype=np.uint64))
+        b = np.unique(np.append(a[rng.random(len(a)) > rng.random()], rng.integers(0, 1 << 63, rng.integers(0, 80), dtype=np.uint64)))
+        if not len(b):
+            continue
+        x, y = (jaccard.sketch(s)[None] for s in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        bits = int(np.bitwise_count(jaccard.folded(x, width) ^ jaccard.folded(y, width)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+
+
+def test_a_passage_in_all_documents_parts_into_small_clusters(spark, monkeypatch, tmp_path):
+    """Documents joined by a common passage alone fall apart by their sketches; near copies among them stay linked."""
+    rng = random.Random(13)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    passage = [word() for _ in range(40)]
+    rows = []
+    for i in range(150):
+        words = passage + [word() for _ in range(rng.randrange(20, 60))]
+        rows.append((2 * i, " ".join(words)))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, " ".join(words[:-2])))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "ENTRIES", 100)
+    monkeypatch.setattr(jaccard, "PAIR_BYTES", 512)
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    same(jaccard.join(docs, 5, 8, 10).select("doc_id", "n_shingles", "component_id"), brute_links(rows, 5, 8, 10))
+    finer = jaccard.parted(docs.withColumnRenamed("doc_id", "__row"), 5, 8, 10)
+    assert finer.groupBy("component").count().agg({"count": "max"}).first()[0] <= 4
+
+
 def test_components(spark):
     rng = random.Random(11)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(7, 7)]
