@@ -51,13 +51,19 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def worker_store(name: str, make):
-    """A value that a Python worker keeps from task to task."""
+    """The one value that a Python worker keeps from task to task; another name's value gives way to it."""
     store = sys.__dict__.setdefault("_duelbook_llm", {})
     if name not in store:
+        store.clear()
         store[name] = make()
     return store[name]
 
 
+def release_store():
+    """Frees what earlier tasks of other operators left in this worker."""
+    sys.__dict__.get("_duelbook_llm", {}).clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -31,6 +31,7 @@ from duelbook.llm.packed import by_range, from_blob, key_range, to_blob
 
 RANGE_BYTES = 24_000_000
 FLUSH = 1_000_000  # signatures held before they are handed on
+WORDS_KEPT = 300_000  # hashed words in a worker's memory
 BLOCK = 512  # documents on one side of a product
 COLUMNS = 8_192  # n-grams of one product
 BATCH = 1_000  # documents of small clusters in one task
@@ -50,7 +51,7 @@ def grams(text, n: int) -> np.ndarray:
     if not isinstance(text, str):
         return np.empty(0, np.uint64)
     known = worker_store("words", WordHashes)
-    if len(known) > 1_000_000:
+    if len(known) > WORDS_KEPT:
         known.clear()
     words = text.encode("utf-8", "surrogatepass").lower().split()  # A-Z only, and ASCII blanks only
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

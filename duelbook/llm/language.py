@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import chunks, texts
+from duelbook.llm.common import chunks, release_store, texts
 
 DIMS = 8192
 SAMPLE = 4000  # rows to fit on, over all languages
@@ -77,6 +77,7 @@ def fit(train: DataFrame, sample: int = SAMPLE):
     chosen = train.where(chance < share[F.col("lang")]).select("lang", "text").limit(2 * each * len(languages))
 
     def extract(frames):
+        release_store()
         for frame in chunks(frames):
             frame = frame[[bool(LETTER.search(text)) for text in frame["text"]]]
             shares = [gram_share(text) for text in frame["text"]]
@@ -125,6 +126,7 @@ def identify(docs: DataFrame, model) -> DataFrame:
     """
 
     def run(frames):
+        release_store()
         predict = predictor(model)
         for frame in chunks(frames):
             out = [predict(text) for text in frame["text"]]
