@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelbook.llm import exact, jaccard, language, packing, templates
-from duelbook.llm.common import ROW, numbered, stored, table
+from duelbook.llm.common import ROW, numbered, plain_scan, stored, table
 from duelbook.llm.queries import vocabulary
 from duelbook.session import tune
 
@@ -56,7 +56,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def fixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` as a plain scan, so that row numbers agree between a decision and its use."""
-    return numbered(docs).drop(ROW)
+    return docs if plain_scan(docs) else stored(docs, "rows")
 
 
 STAGES = [

@@ -6,12 +6,14 @@ import re
 import sys
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelbook.session import scratch_path
 
 ROW = "__row"
+FILES = 100_000  # paths that are numbered on the driver and broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +26,31 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """A number for each row, the same on every read; tells rows of one doc_id apart.
+    """A number for each row, the same on every read whatever the cores; tells rows of one doc_id apart.
 
-    A plain scan of files gives its rows alike each time. Anything else is written to the shared folder first.
+    Rows of a plain Parquet scan are numbered by file, in order of paths, and by place in the file, which no split or
+    number of cores changes. Anything else, and a scan of more than ``FILES`` files, is written once to the shared folder
+    with its numbers and read back.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    if {re.match(r"[\s:+|-]*(\w*)", line)[1] for line in plan} - {"Project", "Filter", "Relation"}:
-        docs = stored(docs, "rows")
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    columns = docs.columns
+    if plain_scan(docs):
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+        files = sorted(row[0] for row in placed.select("__file").distinct().limit(FILES + 1).collect())
+        if len(files) <= FILES:
+            order = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "__file string, __number long")
+            number = F.shiftleft("__number", 36) + F.col("__place")
+            return placed.join(F.broadcast(order), "__file").select(*columns, number.alias(ROW))
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def plain_scan(docs: DataFrame) -> bool:
+    """Whether the rows are those of Parquet files, each at most once."""
+    try:
+        plan = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        docs.select("_metadata.row_index")
+    except (AttributeError, PySparkException):  # no plan to be seen from here, or no file's rows
+        return False
+    return not {re.match(r"[\s:+|-]*(\w*)", line)[1] for line in plan} - {"Project", "Filter", "Relation"}
 
 
 def remainder(column: str, n: int) -> Column:

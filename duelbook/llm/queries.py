@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from duelbook.llm import exact, jaccard, language, packing, pii, suffixes, templates, token_files, toxicity, urls
+from duelbook.llm import (
+    archives, exact, jaccard, language, packing, pii, spelling, suffixes, templates, token_files, toxicity, urls, whitening)
 from duelbook.llm.common import remainder, table
 from duelbook.session import scratch_path, tune
 
@@ -167,3 +168,60 @@ def op10_token_files(spark, sf_dir):
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, path)
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT page_id, h, strlen(h) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY h) AS again, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN head END AS refers_to FROM m""")
+def op11_web_archives(spark, sf_dir):
+    path = archives.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
+    return archives.read_archives(spark, path, fields="page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+@query()
+def op12_whitening(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def misspell(doc_id, run):
+    """The run without one of its letters where 97 divides the crc32 of ``doc_id:run``; the letter follows from it too."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 97 == 0, F.concat(run.substr(F.lit(1), at), run.substr(at + 2, F.length(run)))).otherwise(run)
+
+
+# The checksum bit by bit: the bits of ``doc_id:run``, lowest first, shifted into the register one at a time.
+SPELLING_SQL = """
+WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each AS (SELECT run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)) AS x
+    FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+sums AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(4 * len(x)), lambda i:
+        ((strpos('0123456789ABCDEF', substr(x, (2 * (i // 8) + CASE WHEN i % 8 < 4 THEN 2 ELSE 1 END)::INT, 1)) - 1) >> (i % 4)::INT) & 1)),
+        lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS h FROM each),
+words AS (
+    SELECT word, sum(n)::BIGINT AS n
+    FROM (SELECT n, CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM sums)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+    SELECT DISTINCT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top, min(other ORDER BY n DESC, other) FILTER (n = top_n) AS other
+    FROM (SELECT *, max(n) OVER (PARTITION BY word) AS top_n FROM pairs) GROUP BY word),
+led AS (
+    SELECT w.word, CASE WHEN top >= 2 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN top END AS form_n
+    FROM words w LEFT JOIN best b ON w.word = b.word),
+path(word, root, k) AS (SELECT word, word, 0 FROM led UNION ALL SELECT p.word, l.form, k + 1 FROM path p JOIN led l ON p.root = l.word WHERE l.form IS NOT NULL)
+SELECT led.word, form, ends.root, led.n, n_near, form_n FROM led JOIN (SELECT word, arg_max(root, k) AS root FROM path GROUP BY word) ends ON led.word = ends.word"""
+
+
+@query(SPELLING_SQL)
+def op13_spelling(spark, sf_dir):
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), change=misspell))
