@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from duelbook.operators import dominance, features, history, models, rating_tables, splits  # noqa: E402
+from duelbook.operators import boosting, dominance, features, history, models, rating_tables, splits  # noqa: E402
 from duelbook.operators.ratings import overall_elo, rating_state, surface_elo  # noqa: E402
 from duelbook.plans.views import table, view  # noqa: E402
 from duelbook.session import cut_lineage, local_session, scratch_path  # noqa: E402
@@ -34,6 +34,7 @@ def main():
 
     contests = stored(view(spark, sf_dir, "contests_li"), "contests")
     players = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.col("s_name").alias("player_name"))
+    leagues = stored(view(spark, sf_dir, "contests_na"), "leagues")
     rated = stored(surface_elo(contests), "rated")
     overall = stored(overall_elo(contests, players), "overall")
     frame = stored(features.features(rated), "features")
@@ -50,9 +51,12 @@ def main():
     runs = {
         "d3_surface_elo": lambda: surface_elo(contests),
         "d5_overall_elo": lambda: overall_elo(contests, players),
+        "d5_overall_elo_chains": lambda: overall_elo(leagues, chain_rows=20_000),
+        "d5_overall_elo_leagues": lambda: overall_elo(leagues),
         "d8_player_table": lambda: rating_tables.player_table(players, rows),
         "d11_resume": lambda: overall_elo(contests.where(~first), players, state=rating_state(snapshot)),
         "d13_interpolate": lambda: rating_tables.interpolate(rating_tables.rating_series(rows)),
+        "d13_interpolate_players": lambda: rating_tables.interpolate(rating_tables.rating_series(rows), players=range(1, 11)),
         "d16_player_ratings": lambda: rating_tables.player_ratings(rated),
         "e1_h2h": lambda: history.h2h(persp),
         "e2_h2h_before": lambda: history.h2h_before(persp),
@@ -68,6 +72,7 @@ def main():
         "h1_split_random": lambda: splits.split_random(persp, ["match_num", "target"]),
         "h4_split_temporal": lambda: splits.split_temporal(frame, by="target"),
         "i1_forest": lambda: models.train_forest(cut_lineage(frame), "small").score(frame),
+        "i2_second_order": lambda: boosting.train_second_order(frame, "full", rounds=3).score(frame),
         "j3_report": lambda: models.classification_report(models.predictions(models.predict_elo(frame))),
     }
     seconds = {}

@@ -118,7 +118,16 @@ def profile(matches: DataFrame) -> DataFrame:
 
 
 def add_profile(frame: DataFrame, matches: DataFrame) -> DataFrame:
-    return frame.join(profile(matches), ["match_num", "target"])
+    """``frame`` with the profile of its contests, told apart by number, date, surface and both players.
+
+    Numbers may repeat between tournaments; a row of ``frame`` without a profile is left out.
+    """
+    names = [f"{role}_{n}" for role in ("player", "opponent") for n in ("rank", "ht", "age")]
+    same = ["match_num", "player", "opponent", "target"]
+    own = perspectives(matches, "name", KEY).dropna(subset=names).select(
+        *same, F.col("tourney_date").alias("_date"), F.col("surface").alias("_surface"), *names)
+    met = frame.join(own, same).where(F.col("tourney_date").eqNullSafe(F.col("_date")) & F.col("surface").eqNullSafe(F.col("_surface")))
+    return met.drop("_date", "_surface")
 
 
 def rank_features(matches: DataFrame) -> DataFrame:

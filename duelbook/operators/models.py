@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -246,24 +247,50 @@ def evaluate(pred: DataFrame, by: str = "set") -> DataFrame:
 
 # --- storage ------------------------------------------------------------------
 
+MANIFEST = "number long, folder string"
+
+
 def save_bundle(bundle: Bundle, path: str, tables: dict[str, DataFrame] | None = None) -> str:
-    """Model, scoring parameters and prepared tables under one folder."""
+    """Model, scoring parameters and prepared tables as a new version under ``path``.
+
+    A version is written whole into a folder of its own; its line in the manifest is written last, by Spark's commit, and
+    only that makes it the one that is loaded.  A write that breaks off leaves the version before in place.
+    """
     spark = SparkSession.active()
-    bundle.model.write().overwrite().save(f"{path}/model")
+    folder = f"versions/{uuid.uuid4().hex}"
+    bundle.model.write().save(f"{path}/{folder}/model")
     rows = [(i, c, *bundle.parameters[c]) for i, c in enumerate(bundle.columns)]
-    spark.createDataFrame(rows, "position int, name string, mean double, deviation double").write.mode(
-        "overwrite").parquet(f"{path}/columns")
+    spark.createDataFrame(rows, "position int, name string, mean double, deviation double").write.parquet(f"{path}/{folder}/columns")
     for name, df in (tables or {}).items():
-        df.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+        df.write.parquet(f"{path}/{folder}/tables/{name}")
+    try:
+        number = _version(spark, path)["number"] + 1
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        number = 1
+    spark.createDataFrame([(number, folder)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return path
 
 
+def _version(spark: SparkSession, path: str) -> dict:
+    """The last committed version."""
+    last = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("number"), "folder").first()
+    return last.asDict()
+
+
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
-    model = PipelineModel.load(f"{path}/model")
-    rows = spark.read.parquet(f"{path}/columns").orderBy("position").collect()  # one row per feature
+    folder = f"{path}/{_version(spark, path)['folder']}"
+    model = PipelineModel.load(f"{folder}/model")
+    rows = spark.read.parquet(f"{folder}/columns").orderBy("position").collect()  # one row per feature
     return Bundle(model, [r.name for r in rows], {r.name: (r.mean, r.deviation) for r in rows})
 
 
+def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A prepared table of the last committed version."""
+    return spark.read.parquet(f"{path}/{_version(spark, path)['folder']}/tables/{name}")
+
+
 def load_or_train(spark: SparkSession, path: str, train: Callable[[], Bundle]) -> Bundle:
     """The stored bundle if there is one, else a new one, stored."""
     try:

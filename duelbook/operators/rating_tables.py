@@ -82,19 +82,29 @@ def top_players(table: DataFrame, n: int = 10) -> DataFrame:
     return active_players(table).orderBy(F.desc_nulls_last("peak_elo"), "player_id").limit(n)
 
 
-def rating_series(rows: DataFrame, mode: str = "last", keys=("tour",)) -> DataFrame:
-    """Long series (date, player, elo).
+def of_players(df: DataFrame, players) -> DataFrame:
+    """Rows of the players asked for: a list of ids, a table with ``player``, or None for all."""
+    if players is None:
+        return df
+    if isinstance(players, DataFrame):
+        return df.join(players.select("player"), "player", "left_semi")
+    return df.where(F.col("player").isin(list(players)))
+
+
+def rating_series(rows: DataFrame, mode: str = "last", keys=("tour",), players=None) -> DataFrame:
+    """Long series (date, player, elo), of ``players`` alone if they are given.
 
     ``last``: each player's rating after the date's last contest.  ``first``: only the two players
     of the date's very first contest have a value.
     """
     if mode == "last":
+        rows = of_players(rows, players)
         return rows.groupBy(*keys, "tourney_date", "player").agg(F.max_by("elo_post", "seq").alias("elo"))
     pair = F.min_by(F.struct("player", "elo_post"), F.struct("seq", F.lit(-1) * F.col("win"))).alias("w")
     other = F.min_by(F.struct("player", "elo_post"), F.struct("seq", "win")).alias("l")
     firsts = rows.groupBy(*keys, "tourney_date").agg(pair, other)
     sides = firsts.select(*keys, "tourney_date", F.explode(F.array("w", "l")).alias("v"))
-    return sides.select(*keys, "tourney_date", F.col("v.player").alias("player"), F.col("v.elo_post").alias("elo"))
+    return of_players(sides.select(*keys, "tourney_date", F.col("v.player").alias("player"), F.col("v.elo_post").alias("elo")), players)
 
 
 def wide_series(series: DataFrame, players: list) -> DataFrame:
@@ -102,16 +112,61 @@ def wide_series(series: DataFrame, players: list) -> DataFrame:
     return series.groupBy("tourney_date").pivot("player", players).agg(F.first("elo")).orderBy("tourney_date")
 
 
-def interpolate(series: DataFrame, keys=("tour",)) -> DataFrame:
+def positions(series: DataFrame, keys=("tour",)) -> DataFrame:
+    """``tourney_date, pos, dates``: the place of each date of the series, and how many there are."""
+    dates = series.select(*keys, "tourney_date").distinct()
+    dates = dates.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("tourney_date")))
+    return dates.withColumn("dates", F.count("*").over(Window.partitionBy(*keys)))
+
+
+def intervals(series: DataFrame, dates: DataFrame, keys=("tour",)) -> DataFrame:
+    """``player, first, last, elo, slope``: what is known of each player, one row from value to value.
+
+    Positions ``first`` to ``last`` have ``elo + slope * (pos - first)``.  Before a player's first value there is one row
+    without a value; the last one reaches to the end of ``dates``.  There are as many rows as known values and players,
+    however many dates lie between.
+    """
+    known = series.join(dates, [*keys, "tourney_date"])
+    of_player = Window.partitionBy(*keys, "player").orderBy("pos")
+    steps = known.select(
+        *keys, "player", "pos", "elo", "dates", F.lag("pos").over(of_player).alias("previous"),
+        F.lead("pos").over(of_player).alias("following"), F.lead("elo").over(of_player).alias("target"))
+    slope = F.coalesce((F.col("target") - F.col("elo")) / (F.col("following") - F.col("pos")), F.lit(0.0))
+    end = F.coalesce(F.col("following") - 1, F.col("dates").cast("int"))
+    nothing = F.lit(None).cast("double")
+    own = F.struct(F.col("pos").alias("first"), end.alias("last"), F.col("elo").alias("elo"), slope.alias("slope"))
+    ahead = F.struct(F.lit(1).alias("first"), (F.col("pos") - 1).alias("last"), nothing.alias("elo"), nothing.alias("slope"))
+    lead_in = F.col("previous").isNull() & (F.col("pos") > 1)
+    rows = steps.select(*keys, "player", F.explode(F.when(lead_in, F.array(ahead, own)).otherwise(F.array(own))).alias("v"))
+    return rows.select(*keys, "player", "v.*")
+
+
+def values_at(known: DataFrame, dates: DataFrame, keys=("tour",), width: int = 64) -> DataFrame:
+    """The value of each player of ``known`` (``intervals``) at each of ``dates (keys, tourney_date, pos)``.
+
+    A range join by equality: positions lie in buckets of ``width``, an interval is given to the buckets it touches, and
+    only dates of a bucket meet its intervals.  Each date meets one interval of a player, so the output is players times
+    dates asked, and nothing else is ever made.
+    """
+    spread = known.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    asked = dates.select(*keys, "tourney_date", "pos", F.floor(F.col("pos") / width).alias("bucket"))
+    met = spread.join(asked, [*keys, "bucket"]).where(F.col("pos").between(F.col("first"), F.col("last")))
+    return met.select(*keys, "tourney_date", "player", (F.col("elo") + F.col("slope") * (F.col("pos") - F.col("first"))).alias("elo"))
+
+
+def interpolate(series: DataFrame, keys=("tour",), players=None, dates: DataFrame | None = None) -> DataFrame:
     """A value per player and date of the series, gaps filled linearly by date position.
 
-    Dates before a player's first value stay NULL, dates after the last repeat it.  Each known
-    value writes the positions up to the next one, so the grid needs no join of dates and players.
+    Dates before a player's first value stay NULL, dates after the last repeat it.  ``players`` (a list, or a table with
+    ``player``) and ``dates`` (a table with ``tourney_date`` and the keys) ask for some players and some of the series'
+    dates; positions count all dates all the same.  With neither, each known value writes the positions up to the next
+    one, so the grid needs no join of dates and players.
     """
-    by_date = Window.partitionBy(*keys).orderBy("tourney_date")
-    dates = series.select(*keys, "tourney_date").distinct()
-    dates = dates.withColumn("pos", F.row_number().over(by_date))
-    dates = dates.withColumn("dates", F.count("*").over(Window.partitionBy(*keys)))
+    places = positions(series, keys)
+    if players is not None or dates is not None:
+        asked = places if dates is None else places.join(dates.select(*keys, "tourney_date"), [*keys, "tourney_date"], "left_semi")
+        return values_at(intervals(of_players(series, players), places, keys), asked, keys)
+    dates = places
     known = series.join(dates, [*keys, "tourney_date"])
     of_player = Window.partitionBy(*keys, "player").orderBy("pos")
     steps = known.select(

@@ -6,6 +6,11 @@ before it left them.  How many players a pool has says how much of it can run si
 * ``_fold``: a pool of up to ``crowd`` players is one chain.  It streams in order through a task that
   holds one number pair per player, in chunks of ``chunk_rows`` contests that start from the stored
   ratings of the one before, so a lost executor costs a chunk.  Different pools run in parallel.
+* ``_in_chains``: before that, a pool of more than ``chain_rows`` contests is looked through for
+  independent chains.  Players who meet, directly or through others, within a time slice form a
+  component of the slice's contest graph; components share no player, so each is folded on its own, in
+  parallel, to the same bits.  A slice that one component fills is halved in time, down to
+  ``chain_rows``; only a slice that stays together then is one chain.
 * ``_settle``: a pool of more players is cut into time slices of about four contests per player.
   Inside a slice every player's own contests are walked in parallel, against the opponents' ratings
   as known so far; each contest then hands its new rating to the opponent's copy of that contest, and
@@ -27,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelbook.functions.clean import round_order
+from duelbook.operators.graph import components
 from duelbook.schema import (
     CAREER_K, CAREER_OFFSET, CAREER_SHAPE, FIXED_K, ROUND_ORDER, START_ELO,
 )
@@ -34,6 +40,7 @@ from duelbook.session import Relay, scratch_path
 
 CROWD = 1_000_000  # players of a pool that one task holds
 CHUNK_ROWS = 20_000_000  # contests of such pools walked before their ratings are stored
+CHAIN_ROWS = 2_000_000  # contests of such pools that are not worth looking for independent chains in
 SLICE_ROWS = 1_000_000_000  # the most of a time slice of a larger pool
 PLAYER_ROWS = 20_000_000  # of one player in a slice
 KEY = ["pool", "d", "r", "m"]  # pool, then the order inside it: date, round, contest number
@@ -106,8 +113,11 @@ def _player(k: float | None, start: float):
     return fixed if k is not None else career
 
 
-def _fold(bouts: DataFrame, state: DataFrame | None, k: float | None, start: float) -> DataFrame:
-    """Walk each pool in order inside one task; carried ratings come first as rows of their own."""
+def _fold(bouts: DataFrame, state: DataFrame | None, k: float | None, start: float, tasks: int | None = None) -> DataFrame:
+    """Walk each pool in order inside one task; carried ratings come first as rows of their own.
+
+    ``tasks`` deals the pools to that many, however few bytes they are: walking costs more than reading.
+    """
     rows = bouts.select(*KEY, "w", "l", F.lit(0).alias("carried"), F.lit(0.0).alias("elo"), F.lit(0).cast("long").alias("n"))
     if state is not None:
         rows = rows.unionByName(state.select(
@@ -138,7 +148,8 @@ def _fold(bouts: DataFrame, state: DataFrame | None, k: float | None, start: flo
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("pool", "d", "r", "m", "w", "l")), *map(pa.array, made)], schema=schema)
 
-    ordered = rows.repartition("pool").sortWithinPartitions("pool", F.desc("carried"), "d", "r", "m")
+    dealt = rows.repartition(tasks, "pool") if tasks else rows.repartition("pool")
+    ordered = dealt.sortWithinPartitions("pool", F.desc("carried"), "d", "r", "m")
     return ordered.mapInArrow(walk, BOUT_SCHEMA)
 
 
@@ -237,25 +248,84 @@ def _settle(part: DataFrame, state: DataFrame, k: float | None, start: float, ro
     )
 
 
-def _in_slices(bouts: DataFrame, state: DataFrame | None, sizes: DataFrame, step) -> DataFrame:
-    """Rate time slices of ``sizes(pool, slice_rows)`` one after the other, each on what the one before left."""
-    spark = bouts.sparkSession
-    states = Relay(spark, "state")
+def _cut(bouts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``bouts`` with the number of their time slice, of about ``sizes(pool, slice_rows)`` contests; no date is cut."""
     per_date = bouts.groupBy("pool", "d").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("pool").orderBy("d")) - F.col("rows")
     dated = per_date.withColumn("before", before).join(sizes, "pool")
     slices = dated.select(F.col("pool").alias("_pool"), F.col("d").alias("_d"), F.floor(F.col("before") / F.col("slice_rows")).alias("slice"))
+    return bouts.join(slices, (F.col("pool") == F.col("_pool")) & F.col("d").eqNullSafe(F.col("_d"))).drop("_pool", "_d")
+
+
+def _in_chains(
+    bouts: DataFrame, state: DataFrame | None, sizes: DataFrame, k: float | None, start: float, most: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Rate time slices one after the other, the independent chains inside each side by side.
+
+    ``sizes(pool, slice_rows)`` are the smallest slices.  All of a pool is tried as one slice first; where one chain holds
+    more than half of a slice's contests, the slice is halved and tried again.  Labels of a slice are found once, for all
+    slices of a size together.
+    """
+    spark = bouts.sparkSession
+    path = scratch_path(spark, "units")
+    _cut(bouts, sizes).withColumnRenamed("slice", "unit").write.parquet(path)
+    units = spark.read.parquet(path)
+    level = int(units.agg(F.max("unit")).first()[0] or 0).bit_length()
+    left, parts = units.select("pool", "unit").distinct(), []
+    while True:
+        slices = left.withColumn("slice", F.shiftleft(F.shiftright("unit", level), level))
+        rows = units.join(slices, ["pool", "unit"])
+        labels = components(rows.select("pool", "slice", F.col("w").alias("a"), F.col("l").alias("b")), ["pool", "slice"])
+        chained = rows.join(labels.withColumnsRenamed({"node": "w", "component": "chain"}), ["pool", "slice", "w"])
+        tried = scratch_path(spark, "chains")
+        chained.select("slice", "chain", "unit", *KEY, "w", "l").write.parquet(tried)
+        chained = spark.read.parquet(tried)
+        chains = chained.groupBy("pool", "slice", "chain").agg(F.count("*").alias("rows"))
+        held = chains.groupBy("pool", "slice").agg(F.max("rows").alias("most"), F.sum("rows").alias("rows"))
+        together = held.where((F.col("most") * 2 > F.col("rows")) | (F.col("most") > most)).select("pool", "slice")
+        if not level or together.isEmpty():
+            parts.append(chained)
+            break
+        parts.append(chained.join(together, ["pool", "slice"], "left_anti"))
+        left, level = slices.join(together, ["pool", "slice"], "left_semi").select("pool", "unit"), level - 1
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    order = rows.select("pool", "slice").distinct().withColumn("number", F.dense_rank().over(Window.partitionBy("pool").orderBy("slice")))
+    numbered = rows.join(order, ["pool", "slice"]).drop("slice", "unit").withColumnRenamed("number", "slice")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def step(part, known):
+        chain_of = part.select("pool", "chain", F.explode(F.array("w", "l")).alias("player")).distinct()
+        named = F.concat("chain", F.lit("|"), "pool").alias("pool")
+        carried = known.join(chain_of, ["pool", "player"]).select(named, "player", "elo", "n")
+        folded = _fold(part.select(named, *KEY[1:], "w", "l"), carried, k, start, tasks)
+        return folded.withColumn("pool", F.expr("substr(pool, locate('|', pool) + 1)"))
+
+    return _one_by_one(numbered, state, step)
+
+
+def _in_slices(bouts: DataFrame, state: DataFrame | None, sizes: DataFrame, step) -> DataFrame:
+    """Rate time slices of ``sizes(pool, slice_rows)`` one after the other."""
+    return _one_by_one(_cut(bouts, sizes), state, step)
+
+
+def _one_by_one(cut: DataFrame, state: DataFrame | None, step) -> DataFrame:
+    """Rate the time slices of ``cut`` in order, each on what the one before left."""
+    spark = cut.sparkSession
+    states = Relay(spark, "state")
     sliced_path, done_path = scratch_path(spark, "slices"), scratch_path(spark, "rated")
-    cut = bouts.join(slices, (F.col("pool") == F.col("_pool")) & F.col("d").eqNullSafe(F.col("_d"))).drop("_pool", "_d")
     cut.write.partitionBy("slice").parquet(sliced_path)
     sliced = spark.read.parquet(sliced_path)
     numbers = [row.slice for row in sliced.select("slice").distinct().orderBy("slice").collect()]
 
     if state is None:
         state = spark.createDataFrame([], "pool string, player long, elo double, n long")
+    if not numbers:
+        return spark.createDataFrame([], BOUT_SCHEMA)
     for number in numbers:
         path = f"{done_path}/part={number}"
-        step(sliced.where(F.col("slice") == number).select(*KEY, "w", "l"), state).write.parquet(path)
+        step(sliced.where(F.col("slice") == number).drop("slice"), state).write.parquet(path)
         rated = spark.read.schema(BOUT_SCHEMA).parquet(path)
         ends = rated.select("pool", "d", "r", "m", F.explode(F.array(*[
             F.struct(F.col(p).alias("player"), F.col(f"{p}_post").alias("post"), F.col(f"{p}_n").alias("played")) for p in ("w", "l")
@@ -268,7 +338,7 @@ def _in_slices(bouts: DataFrame, state: DataFrame | None, sizes: DataFrame, step
 
 def rate(
     bouts: DataFrame, k: float | None, start: float = START_ELO, state: DataFrame | None = None,
-    crowd: int = CROWD, chunk_rows: int = CHUNK_ROWS, slice_rows: int | None = None,
+    crowd: int = CROWD, chunk_rows: int = CHUNK_ROWS, slice_rows: int | None = None, chain_rows: int = CHAIN_ROWS,
 ) -> DataFrame:
     """Ratings before and after each contest of ``bouts(pool, d, r, m, w, l)``.
 
@@ -278,26 +348,33 @@ def rate(
     bouts = bouts.where("w <> l")
     pools = bouts.groupBy("pool").agg(
         F.count("*").alias("rows"), F.greatest(F.approx_count_distinct("w"), F.approx_count_distinct("l")).alias("players"))
-    kinds = pools.groupBy().agg(
-        F.count_if(F.col("players") > crowd).alias("wide"), F.count_if(F.col("players") <= crowd).alias("narrow"),
-        F.count_if(F.col("rows") > chunk_rows).alias("long")).first()
-    if not kinds.wide and not kinds.long:
+    kind = F.when(F.col("players") > crowd, "settle").when(F.col("rows") > chain_rows, "chains").when(F.col("rows") > chunk_rows, "chunks").otherwise("fold")
+    pools = pools.select("pool", kind.alias("kind"))
+    kinds = {row.kind for row in pools.select("kind").distinct().collect()}
+    if kinds <= {"fold"}:
         return _fold(bouts, state, k, start)
-    wide = pools.where(F.col("players") > crowd).select("pool")
-
-    def own(df, how):
-        return df.join(wide, "pool", how) if df is not None else None
-
-    rounds = Relay(bouts.sparkSession, "rounds")
-    narrow, many = own(bouts, "left_anti"), own(bouts, "left_semi")
-    sizes = _slice_rows(many) if slice_rows is None else wide.withColumn("slice_rows", F.lit(slice_rows))
-    chunks = pools.where(F.col("players") <= crowd).select("pool", F.lit(chunk_rows).alias("slice_rows"))
+    path = scratch_path(bouts.sparkSession, "pools")
+    pools.write.parquet(path)
+    pools = bouts.sparkSession.read.parquet(path)
     out = []
-    if kinds.wide:
-        out.append(_in_slices(many, own(state, "left_semi"), sizes, lambda part, known: _settle(part, known, k, start, rounds)))
-    if kinds.narrow:
-        out.append(_in_slices(narrow, own(state, "left_anti"), chunks, lambda part, known: _fold(part, known, k, start)))
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    for kind in sorted(kinds):
+        mine = pools.where(F.col("kind") == kind).select("pool")
+        part, known = bouts.join(mine, "pool", "left_semi"), state.join(mine, "pool", "left_semi") if state is not None else None
+        if kind == "settle":
+            rounds = Relay(bouts.sparkSession, "rounds")
+            sizes = _slice_rows(part) if slice_rows is None else mine.withColumn("slice_rows", F.lit(slice_rows))
+            out.append(_in_slices(part, known, sizes, lambda rows, known: _settle(rows.select(*KEY, "w", "l"), known, k, start, rounds)))
+        elif kind == "chains":
+            out.append(_in_chains(part, known, mine.withColumn("slice_rows", F.lit(min(chain_rows, chunk_rows))), k, start, chunk_rows))
+        elif kind == "chunks":
+            sizes = mine.withColumn("slice_rows", F.lit(chunk_rows))
+            out.append(_in_slices(part, known, sizes, lambda rows, known: _fold(rows, known, k, start)))
+        else:
+            out.append(_fold(part, known, k, start))
+    rated = out[0]
+    for more in out[1:]:
+        rated = rated.unionByName(more)
+    return rated
 
 
 def _pool(keys) -> Column:

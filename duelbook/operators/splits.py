@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from duelbook.functions.position import label_by_cuts, md5_number, md5_rank_key
 from duelbook.schema import SURFACES
 
+NO_DATE = 3_000_000  # a day after the last date there is
 
 def split_random(df: DataFrame, identity: list[str], test: float = 0.2, seed: int = 42, by: str | None = None) -> DataFrame:
     """``set`` 'test' for the first ceil(test * n) rows in md5 order, per class with ``by``.
@@ -22,14 +23,15 @@ def split_random(df: DataFrame, identity: list[str], test: float = 0.2, seed: in
 
 
 def split_temporal(df: DataFrame, by: str | None = None, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """Train, validation and test by position in (date, contest, winner first) order.
+    """Train, validation and test by position in (date, contest, winner first) order; rows without a date come last.
 
     Cuts are int(train * n) and int(validation * n), per class with ``by``.
     """
     def cuts(n):
         return [int(train * n), int(train * n) + int(validation * n)]
 
-    keyed = df.withColumns({"_day": F.unix_date("tourney_date").cast("long"), "_lost": 1 - F.col("target")})
+    day = F.coalesce(F.unix_date("tourney_date").cast("long"), F.lit(NO_DATE).cast("long"))
+    keyed = df.withColumns({"_day": day, "_lost": 1 - F.col("target")})
     out = label_by_cuts(keyed, ["_day", "match_num", "_lost"], cuts, ["train", "validation", "test"], by)
     return out.drop("_day", "_lost")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from duelbook.operators import models
+from duelbook.operators.boosting import train_second_order
 from duelbook.operators.features import features, features_asof
 from duelbook.operators.splits import split_temporal
 from duelbook.plans.catalog import query, r6
@@ -47,6 +50,71 @@ def i2(spark, sf):
     return _sets(rows, models.train_boosted(rows.where("set = 'train'"), "small"))
 
 
+# Cuts that no value of the tables falls on: (first, step, how many) per column.
+TREE_CUTS = {
+    "player_elo": (1300.37, 10.0, 41), "opponent_elo": (1300.37, 10.0, 41), "elo_diff": (-300.37, 15.0, 41), "h2h_win_rate": (0.0137, 0.05, 20),
+    "h2h_matches": (0.5, 3.0, 30), "player_surface_win_rate": (0.0137, 0.02, 49), "player_surface_matches": (0.5, 7.0, 60),
+    "opponent_surface_win_rate": (0.0137, 0.02, 49), "opponent_surface_matches": (0.5, 7.0, 60),
+}
+TREE_BINS = " union all ".join(
+    f"select match_num, target, {i} as f, case when {c} < {a}::double then 0 else least(floor(({c} - {a}::double) / {step}::double)::int + 1, {n}) end as bin from training"
+    for i, (c, (a, step, n)) in enumerate(TREE_CUTS.items()))
+TREE_NAMES = "[" + ", ".join(f"'{c}'" for c in TREE_CUTS) + "]"
+TREE_FIRST = "[" + ", ".join(f"{a}::double" for a, _, _ in TREE_CUTS.values()) + "]"
+TREE_STEP = "[" + ", ".join(f"{step}::double" for _, step, _ in TREE_CUTS.values()) + "]"
+
+
+def _splits_sql(level: int, rows: str) -> str:
+    """The best split of each node of a level; ``rows`` has (match_num, target, node, f, bin)."""
+    return f"""
+hist{level} as (select node, f, bin, sum(0.5::double - target) as g, sum(0.25::double) as h from {rows} group by 1, 2, 3),
+run{level} as (select node, f, bin, sum(g) over r as gl, sum(h) over r as hl, sum(g) over a as ga, sum(h) over a as ha from hist{level}
+               window r as (partition by node, f order by bin rows unbounded preceding), a as (partition by node, f)),
+best{level} as (select *, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) as gain from run{level}
+                where hl >= 1 and ha - hl >= 1
+                qualify row_number() over (partition by node order by gain desc, f, bin) = 1)"""
+
+
+TREE_SQL = f"""
+training as (select f.* from features f join pred p on p.match_num = f.match_num and p.target = f.target where p."set" = 'train'),
+binned as materialized ({TREE_BINS}),
+rows0 as (select *, 0 as node from binned),{_splits_sql(0, "rows0")},
+side as (select b.match_num, b.target, case when b.bin <= s.bin then 1 else 2 end as node from binned b join best0 s on s.f = b.f),
+rows1 as (select b.*, side.node from binned b join side on side.match_num = b.match_num and side.target = b.target),{_splits_sql(1, "rows1")},
+splits as (select node, f, bin, gain, gl, hl, ga, ha from best0 where gain > 1e-6::double union all select node, f, bin, gain, gl, hl, ga, ha from best1 where gain > 1e-6::double),
+leaves as (select 2 * node + 1 as node, gl as g, hl as h from splits union all select 2 * node + 2, ga - gl, ha - hl from splits)
+"""
+
+
+def first_tree(spark, sf):
+    rows = split_rows(spark, sf)
+    cuts = {c: [a + step * i for i in range(n)] for c, (a, step, n) in TREE_CUTS.items()}
+    return train_second_order(rows.where("set = 'train'"), columns=list(TREE_CUTS), cuts=cuts, rounds=1, depth=2)
+
+
+@query("i2_second_order_tree", f"""
+select node, {TREE_NAMES}[f + 1] as feature, round({TREE_FIRST}[f + 1] + {TREE_STEP}[f + 1] * bin, 6) as threshold, round(gain, 6) as gain,
+       round(ha, 6) as cover, cast(null as double) as value from splits
+union all select node, null, null, null, round(h, 6), round(-0.3::double * g / (h + 1), 6) from leaves where node not in (select node from splits)
+""", "rated_ev", ASOF_FEATURES + "," + ELO_PRED + "," + TREE_SQL)
+def i2_tree(spark, sf):
+    """The first tree: its splits, their gains and the values of its leaves."""
+    return first_tree(spark, sf).nodes().select("node", "feature", *[r6(c).alias(c) for c in ("threshold", "gain", "cover", "value")])
+
+
+@query("i2_second_order", """
+select "set", count(*) as n, true as in_range, case when "set" = 'train' then true end as learned from pred group by 1
+""", "rated_ev", ASOF_FEATURES + "," + ELO_PRED)
+def i2_second_order(spark, sf):
+    """Five rounds of trees of the published depth: probabilities for every set, and a loss below that of even odds where they learned."""
+    rows = split_rows(spark, sf)
+    model = train_second_order(rows.where("set = 'train'"), "full", rounds=5)
+    loss = -F.avg(F.log(F.when(F.col("target") == 1, F.col("p")).otherwise(1 - F.col("p"))))
+    return model.score(rows).groupBy("set").agg(
+        F.count("*").alias("n"), F.min(F.col("p").between(0, 1)).alias("in_range"),
+        F.when(F.col("set") == "train", loss < F.log(F.lit(2.0))).alias("learned"))
+
+
 @query("i3_class_weights", """
 with c as (select target, count(*) as n from pred where "set" = 'train' group by 1)
 select p.match_num, p.target, round((select sum(n) from c) / ((select count(*) from c) * c.n), 6) as weight
@@ -110,6 +178,15 @@ def j4(spark, sf):
     return models.train_forest(rows.where("set = 'train'"), "small").importances()
 
 
+@query("j4_gain_importances", f"""
+select name as feature, round(coalesce(m / sum(m) over (), 0), 6) as importance
+from (select unnest({TREE_NAMES}) as name, unnest(range({len(TREE_CUTS)})) as f) n left join (select f, avg(gain) as m from splits group by f) g on g.f = n.f
+""", "rated_ev", ASOF_FEATURES + "," + ELO_PRED + "," + TREE_SQL)
+def j4_gain(spark, sf):
+    """Mean gain per column, as a share of all."""
+    return first_tree(spark, sf).importances().select("feature", r6("importance").alias("importance"))
+
+
 @query("j5_evaluate", """
 with c as (select "set", count(*) filter (target = 1 and prediction = 1)::double as tp, count(*) filter (target = 0 and prediction = 1)::double as fp,
                  count(*) filter (target = 1 and prediction = 0)::double as fn, count(*) filter (target = 0 and prediction = 0)::double as tn from pred where "set" <> 'train' group by 1)
@@ -129,3 +206,18 @@ def b5(spark, sf):
     models.load_or_train(spark, path, lambda: models.train_forest(rows.where("set = 'train'"), "small"))
     model = models.load_or_train(spark, path, lambda: None)
     return model.score(rows.where("set = 'test'")).select("match_num", "target", "p")
+
+
+@query("b5_bundle_reloaded", """select match_num, target, true as same from pred where "set" = 'test'""", "rated_ev", ASOF_FEATURES + "," + ELO_PRED)
+def b5_reloaded(spark, sf):
+    """A stored model, after a later write that broke off, scores as it did before it was stored."""
+    rows = split_rows(spark, sf)
+    path = scratch_path(spark, "bundle")
+    first = models.train_forest(rows.where("set = 'train'"), "small")
+    models.save_bundle(first, path, {"sets": rows.groupBy("set").count()})
+    rows.limit(1).write.parquet(f"{path}/versions/broken/columns")
+    again = models.load_bundle(spark, path)
+    held = rows.where("set = 'test'")
+    both = first.score(held).select("match_num", "target", "p").join(
+        again.score(held).select("match_num", "target", F.col("p").alias("q")), ["match_num", "target"])
+    return both.select("match_num", "target", (F.col("p") == F.col("q")).alias("same"))

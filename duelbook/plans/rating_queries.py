@@ -12,9 +12,10 @@ from duelbook.plans.source_queries import (
     PLAYER_RATINGS_CTE, PLAYER_TABLE_CTE, PLAYER_TABLE_SQL, RATED_SQL, _show_rated, contests, overall, ranked_players, rated,
     show_player_table,
 )
-from duelbook.plans.views import view
+from duelbook.plans.views import table, view
 from duelbook.session import scratch_path
-from duelbook.streaming.yearly import rate_arrivals
+from duelbook.sources.files import write_table
+from duelbook.streaming.yearly import current_ratings, rate_arrivals
 
 HALFWAY = "2024-01-15"
 
@@ -48,6 +49,15 @@ def d3_sliced(spark, sf):
     return _show_rated(surface_elo(contests(spark, sf), crowd=10, slice_rows=600))
 
 
+@query("d3_surface_elo_chains", """
+select match_num, surface, round(winner_surface_elo, 6) as winner_surface_elo, round(loser_surface_elo, 6) as loser_surface_elo from rated_na
+""", "rated_na")
+def d3_chains(spark, sf):
+    """One tour of leagues that never meet: each league of a surface is a chain of its own."""
+    made = surface_elo(view(spark, sf, "contests_na"), chain_rows=1000)
+    return made.select("match_num", "surface", r6("winner_surface_elo").alias("winner_surface_elo"), r6("loser_surface_elo").alias("loser_surface_elo"))
+
+
 @query("d4_k_factor", """
 select match_num, round(250 / pow(winner_played + 5, 0.4), 6) as winner_k, round(250 / pow(loser_played + 5, 0.4), 6) as loser_k from overall_ev
 """, "overall_ev")
@@ -77,6 +87,13 @@ def d5_sliced(spark, sf):
     return _show_overall(overall_elo(contests(spark, sf), view(spark, sf, "players_v"), crowd=10, slice_rows=2000))
 
 
+@query("d5_overall_elo_chains", OVERALL_SQL.replace("overall_ev", "overall_na"), "overall_na")
+def d5_chains(spark, sf):
+    """One pool of one tour, folded as its independent chains."""
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("player_id"))
+    return _show_overall(overall_elo(view(spark, sf, "contests_na"), suppliers, chain_rows=1000))
+
+
 @query("d6_known_players", """
 select match_num, winner_id, loser_id from contests_ev
 where winner_id in (select player_id from players_v) and loser_id in (select player_id from players_v)
@@ -127,15 +144,29 @@ def d11(spark, sf):
     return _show_overall(overall_elo(matches.where(F.col("tourney_date") > HALFWAY), players, state=state))
 
 
+def _arrive(spark, sf, matches, parts):
+    """The contests of ``matches`` that the conditions in ``parts`` name, rated part by part as they arrive."""
+    source, target = scratch_path(spark, "arrivals"), scratch_path(spark, "arrived")
+    for part in parts:
+        matches.where(part).write.mode("append").parquet(source)
+        rate_arrivals(spark, source, matches.schema, view(spark, sf, "players_v"), target)
+    return current_ratings(spark, target)
+
+
 @query("d11_yearly_files", OVERALL_SQL, "overall_ev")
 def d11_files(spark, sf):
     """Files rated as they arrive, each on the state the ones before left."""
-    matches, source, target = contests(spark, sf), scratch_path(spark, "arrivals"), scratch_path(spark, "arrived")
-    for start, end in (("2024-01-01", HALFWAY), (HALFWAY, "2100-01-01")):
-        part = matches.where((F.col("tourney_date") >= start) & (F.col("tourney_date") < end))
-        part.write.mode("append").parquet(source)
-        rate_arrivals(spark, source, matches.schema, view(spark, sf, "players_v"), target)
-    return _show_overall(spark.read.parquet(f"{target}/ratings"))
+    day = F.col("tourney_date")
+    return _show_overall(_arrive(spark, sf, contests(spark, sf), [day < HALFWAY, day >= HALFWAY]))
+
+
+@query("d11_late_files", OVERALL_SQL.replace("overall_ev", "overall_tt").replace("match_num,", "match_num, tour,", 1), "overall_tt")
+def d11_late(spark, sf):
+    """Two tours; a file of one of them comes late and once more, and gives what one run over everything gives."""
+    day, late = F.col("tourney_date"), (F.col("tour") == "WTA") & (F.col("match_num") % 5 == 0)
+    parts = [(day < HALFWAY) & ~late, (day >= HALFWAY) & ~late, late & (day < HALFWAY), late]
+    made = _arrive(spark, sf, view(spark, sf, "contests_tt"), parts)
+    return _show_overall(made).join(made.select("match_num", "tour"), "match_num")
 
 
 SERIES = {
@@ -164,6 +195,21 @@ def d12_first(spark, sf):
     return _show_series(tables.rating_series(tables.rating_rows(overall(spark, sf)), "first"))
 
 
+TEN = "(select player_id from players_v order by player_id limit 10)"
+
+
+def _ten(spark, sf):
+    """The ten smallest ids of the player dimension, as a user would list them."""
+    return [row.player_id for row in view(spark, sf, "players_v").orderBy("player_id").limit(10).collect()]
+
+
+@query("d12_rating_series_players", f"""
+select cast(tourney_date as string) as tourney_date, player, round(elo, 6) as elo from ({SERIES['last']}) where player in {TEN}
+""", "overall_ev", SERIES_CTE)
+def d12_players(spark, sf):
+    return _show_series(tables.rating_series(tables.rating_rows(overall(spark, sf)), players=_ten(spark, sf)))
+
+
 GRID_SQL = f"""
 known as ({SERIES['last']}),
 dates as (select tourney_date, row_number() over (order by tourney_date) as pos from (select distinct tourney_date from known)),
@@ -194,6 +240,48 @@ def d14(spark, sf):
     return _show_series(tables.trim_series(filled, tables.career_counters(rows)))
 
 
+@query("d13_interpolate_players", f"""
+select cast(tourney_date as string) as tourney_date, player, round(elo, 6) as elo from filled where player in {TEN}
+""", "overall_ev", SERIES_CTE + "," + GRID_SQL)
+def d13_players(spark, sf):
+    """Ten players at all dates, from intervals: no other player's values are made."""
+    return _show_series(tables.interpolate(tables.rating_series(tables.rating_rows(overall(spark, sf))), players=_ten(spark, sf)))
+
+
+@query("d13_interpolate_dates", """
+select cast(tourney_date as string) as tourney_date, player, round(elo, 6) as elo from filled where dayofweek(tourney_date) = 0
+""", "overall_ev", SERIES_CTE + "," + GRID_SQL)
+def d13_dates(spark, sf):
+    """All players on Sundays alone."""
+    series = tables.rating_series(tables.rating_rows(overall(spark, sf)))
+    sundays = series.where(F.dayofweek("tourney_date") == 1).select("tour", "tourney_date").distinct()
+    return _show_series(tables.interpolate(series, dates=sundays))
+
+
+@query("d14_trim_series_players", f"""
+select cast(f.tourney_date as string) as tourney_date, f.player,
+       case when f.tourney_date > s.d then null else round(f.elo, 6) end as elo from filled f join state s on s.player = f.player
+where f.player in {TEN}
+""", "overall_ev", SERIES_CTE + "," + GRID_SQL)
+def d14_players(spark, sf):
+    rows = tables.rating_rows(overall(spark, sf))
+    filled = tables.interpolate(tables.rating_series(rows), players=_ten(spark, sf))
+    return _show_series(tables.trim_series(filled, tables.career_counters(rows)))
+
+
+@query("b4_write_wide_series", "select cast(tourney_date as string) as tourney_date, " + ", ".join(
+    f"max(round(elo, 6)) filter (place = {i}) as player_{i}" for i in range(1, 11)) + f"""
+from ({SERIES['last']}) k join (select player_id, row_number() over (order by player_id) as place from players_v) p
+  on p.player_id = k.player and p.place <= 10 group by tourney_date
+""", "overall_ev", SERIES_CTE)
+def b4_wide(spark, sf):
+    """One column for each of ten players, written and read back."""
+    ten = _ten(spark, sf)
+    series = tables.rating_series(tables.rating_rows(overall(spark, sf)), players=ten)
+    wide = spark.read.parquet(write_table(tables.wide_series(series, ten), scratch_path(spark, "wide")))
+    return wide.select(day("tourney_date").alias("tourney_date"), *[r6(str(p)).alias(f"player_{i}") for i, p in enumerate(ten, 1)])
+
+
 @query("d15_player_history", """
 with ids as (select winner_name as name, min_by(winner_id, match_num) as id from rated_ev group by 1),
 s as (select match_num, tourney_date, surface, winner_id as id, winner_surface_elo as elo from rated_ev

@@ -94,6 +94,31 @@ select k * 1000000 + p as match_num, 'SUP' as tour, d as tourney_date, concat(ca
 from u
 """
 
+# One tour of 25 leagues that never meet: suppliers of a nation play by twos, in the order of a day's lines.
+CONTESTS_NA = """
+with e as (
+  select l_orderkey * 8 + l_linenumber as k, min(l_suppkey) as p, min(l_shipdate) as d, max(l_quantity) as q, min(l_returnflag) as f
+  from lineitem group by 1),
+s as (
+  select k, p, s_nationkey as n, d, q, f, row_number() over (partition by s_nationkey, d order by k) as i
+  from e join supplier on s_suppkey = p),
+t as (
+  select n, d, floor((i - 1) / 2) as g, min(k) as k, min_by(p, k) as a, max_by(p, k) as b, min_by(q, k) as qa, max_by(q, k) as qb, min_by(f, k) as f
+  from s group by 1, 2, 3 having count(*) = 2)
+select k as match_num, 'NAT' as tour, cast(d as date) as tourney_date, n as league,
+       case f when 'A' then 'Hard' when 'N' then 'Clay' else 'Grass' end as surface,
+       case k % 9 when 0 then 'RR' when 1 then 'R128' when 2 then 'R64' when 3 then 'R32' when 4 then 'R16'
+            when 5 then 'QF' when 6 then 'SF' when 7 then 'F' else 'BR' end as round,
+       case when qa >= qb then a else b end as winner_id, case when qa >= qb then b else a end as loser_id
+from t where a <> b
+"""
+
+# Two tours in one table, over the smaller contests.
+CONTESTS_TT = """
+select match_num, case match_num % 3 when 0 then 'WTA' else 'ATP' end as tour, tourney_id, tourney_date, surface, round, winner_id, loser_id
+from contests_ev
+"""
+
 # Some ids and names are left out on purpose, to meet unknown players and missing ranks.
 PLAYERS_V = """
 select user_id as player_id, concat('Player#', lpad(cast(user_id as string), 9, '0')) as player_name
@@ -196,7 +221,25 @@ select q.*, f.elo as winner_elo_pre, f.opp as loser_elo_pre, f.n as winner_playe
 from career_q q join career_r f on f.player = -1 - q.match_num
 """
 
+DUCK_FOLD_NA = DUCK_FOLD_EV.replace("contests_ev", "contests_na")
+DUCK_RATED_NA = DUCK_RATED_EV.replace("contests_ev", "contests_na")
+DUCK_CAREER_NA = DUCK_CAREER_EV.replace("contests_ev", "contests_na").replace("players_v", "suppliers_v")
+# a player of two tours is two players to this walk, told apart by the last bit of the id
+DUCK_CAREER_TT = DUCK_CAREER_EV.replace("from contests_ev c semi", "from contests_tt2 c semi").replace("players_v", "players_tt")
+SIGNED_TT = """
+select match_num, tour, tourney_date, round, 2 * winner_id + cast(tour = 'WTA' as int) as winner_id, 2 * loser_id + cast(tour = 'WTA' as int) as loser_id
+from contests_tt
+"""
+
 DUCK_VIEWS = {
+    "contests_na": CONTESTS_NA,
+    "contests_tt": CONTESTS_TT,
+    "contests_tt2": SIGNED_TT,
+    "suppliers_v": "select s_suppkey as player_id from supplier",
+    "players_tt": "select 2 * player_id as player_id from players_v union all select 2 * player_id + 1 from players_v",
+    "rated_na": DUCK_RATED_NA,
+    "overall_na": DUCK_OVERALL_EV,
+    "overall_tt": DUCK_OVERALL_EV,
     "contests_ev": DUCK_CONTESTS_EV,
     "contests_li": CONTESTS_LI.replace("`", '"'),
     "players_v": PLAYERS_V,
@@ -212,6 +255,13 @@ DUCK_NEEDS = {
     "odds_pages_v": ["contests_ev"],
     "rated_ev": ["contests_ev"],
     "overall_ev": ["contests_ev", "players_v"],
+    "rated_na": ["contests_na"],
+    "overall_na": ["contests_na", "suppliers_v"],
+    "contests_tt": ["contests_ev"],
+    "overall_tt": ["contests_ev", "players_v", "contests_tt", "contests_tt2", "players_tt"],
+}
+DUCK_WALKS = {
+    "rated_ev": DUCK_FOLD_EV, "overall_ev": DUCK_CAREER_EV, "rated_na": DUCK_FOLD_NA, "overall_na": DUCK_CAREER_NA, "overall_tt": DUCK_CAREER_TT,
 }
 
 
@@ -222,10 +272,8 @@ def duck_sql(views: str, sql: str, extra: str = "") -> str:
         names += [v for v in [*DUCK_NEEDS.get(view, []), view] if v not in names]
     parts = []
     for name in names:
-        if name == "rated_ev":
-            parts.append(DUCK_FOLD_EV)
-        if name == "overall_ev":
-            parts.append(DUCK_CAREER_EV)
+        if name in DUCK_WALKS:
+            parts.append(DUCK_WALKS[name])
         parts.append(f"{name} as materialized ({DUCK_VIEWS[name]})")
     if extra:
         parts.append(extra)
@@ -237,6 +285,8 @@ def duck_sql(views: str, sql: str, extra: str = "") -> str:
 SPARK_VIEWS = {
     "contests_ev": (SPARK_CONTESTS_EV, ["events"]),
     "contests_li": (CONTESTS_LI, ["lineitem"]),
+    "contests_na": (CONTESTS_NA, ["lineitem", "supplier"]),
+    "contests_tt": (CONTESTS_TT, ["contests_ev"]),
     "players_v": (PLAYERS_V, ["events"]),
     "rankings_v": (RANKINGS_V, ["events"]),
     "aliases_v": (ALIASES_V, ["events"]),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from duelbook.functions.clean import parse_date
 from duelbook.schema import FIRST_YEAR, LAST_YEAR, MATCH_SCHEMA, RATED_REQUIRED, RATED_SCHEMA, require_columns
@@ -17,7 +22,23 @@ TIER_FILES = {
 }
 
 
-def _typed(df: DataFrame, schema, strict_dates: bool) -> DataFrame:
+def _headers(spark: SparkSession, paths: list[str], encoding: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under ``paths`` by the column names in their first line, from one scan; empty files have none."""
+    lines = spark.read.option("encoding", encoding).text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    firsts = lines.where((F.col("start") == 0) & (F.trim("value") != "")).groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in firsts.orderBy("path").collect():  # one row per file
+        names = next(csv.reader([row.line.lstrip("\ufeff")]))
+        names = [n.strip() or f"_c{i}" for i, n in enumerate(names)]
+        names = tuple(f"{n}{i}" if names.count(n) > 1 else n for i, n in enumerate(names))
+        # paths come percent-encoded and are read as patterns
+        path = re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(row.path))
+        found.setdefault(names, []).append(path)
+    return found
+
+
+def _typed(df: DataFrame, schema, strict_dates: bool, others: bool = False) -> DataFrame:
     """The contract's columns by name and with its types; absent ones are left out."""
     columns: list[Column] = []
     for field in schema:
@@ -32,40 +53,46 @@ def _typed(df: DataFrame, schema, strict_dates: bool) -> DataFrame:
             columns.append(raw)
         else:
             columns.append(raw.try_cast(field.dataType).alias(field.name))
+    if others:
+        unknown = [c for c in df.columns if c not in schema.names]
+        pairs = [x for c in unknown for x in (F.lit(c), F.col(f"`{c}`"))]
+        columns.append((F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("others"))
     return df.select(*columns)
 
 
 def read_matches(
     spark: SparkSession, folder: str, tour: str = "atp", years=range(FIRST_YEAR, LAST_YEAR + 1),
-    tiers=("tour",), encoding: str = "UTF-8", strict_dates: bool = True, layout: dict[str, str] = TIER_FILES,
+    tiers=("tour",), encoding: str = "UTF-8", strict_dates: bool = True, layout: dict[str, str] = TIER_FILES, others: bool = False,
 ) -> DataFrame:
     """Yearly contest files of one tour, columns aligned by name; one scan per tier and header.
 
+    One job a tier reads the first lines of all its files.  With ``others`` the columns that the contract does not know come
+    as a map from name to text, ``others``; without, they are left out.
+
     Every year's tour file must exist; other tiers may miss years or be absent altogether.
     ``years`` None takes every year found.  ``layout`` names each tier's file or folder.  ``tour`` is
     added where the files do not have it.
     """
-    reader = spark.read.option("header", True).option("encoding", encoding)
     frames = []
     for tier in tiers:
-        pattern = f"{folder.rstrip('/')}/{layout[tier]}"
+        root, pattern = folder.rstrip("/"), layout[tier]
         if years is None:
-            paths = [pattern.format(tour=tour, year="????")]
+            paths = [f"{root}/{pattern.format(tour=tour, year='????')}"]
         elif tier == "tour":
-            paths = [pattern.format(tour=tour, year=y) for y in years]
+            paths = [f"{root}/{pattern.format(tour=tour, year=y)}" for y in years]
         else:
-            paths = [pattern.format(tour=tour, year="{" + ",".join(map(str, years)) + "}")]
+            paths = [f"{root}/{pattern.format(tour=tour, year='{' + ','.join(map(str, years)) + '}')}"]
         try:
-            files = spark.read.text(paths).inputFiles()
+            headers = _headers(spark, paths, encoding)
         except AnalysisException as error:
             if tier != "tour" and error.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
-        headers: dict[tuple, list[str]] = {}
-        for file in sorted(files):
-            headers.setdefault(tuple(reader.csv(file).columns), []).append(file)
-        for same in headers.values():
-            frames.append(_typed(reader.csv(same), MATCH_SCHEMA, strict_dates).withColumn("tier", F.lit(tier)))
+        for names, same in headers.items():
+            raw = spark.read.schema(StructType([StructField(n, StringType()) for n in names])).csv(same, header=True, encoding=encoding)
+            frames.append(_typed(raw, MATCH_SCHEMA, strict_dates, others).withColumn("tier", F.lit(tier)))
+    if not frames:
+        raise ValueError(f"no contest file under {folder} has a header")
     matches = frames[0]
     for more in frames[1:]:
         matches = matches.unionByName(more, allowMissingColumns=True)

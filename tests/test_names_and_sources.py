@@ -77,6 +77,20 @@ def test_tiers_align_by_name_and_may_miss(spark, tmp_path):
         files.read_matches(spark, str(tmp_path), "atp", [2019, 2020], **args)
 
 
+def test_headers_of_any_order_in_any_folder(spark, tmp_path):
+    """Names with blanks, accents, percent signs and pattern letters; a quoted header, a BOM, an empty file, unknown columns."""
+    folder = tmp_path / "my dátà 100% {x}[1]"
+    folder.mkdir()
+    write(folder / "atp_matches_2020.csv", "match_num,tourney_date,winner_name\n1,20200105,A\n")
+    write(folder / "atp_matches_2021.csv", "\ufeff\"winner_name\",tourney_date,match_num\nB,20210105,2\n")
+    write(folder / "atp_matches_2022.csv", "match_num,tourney_date,winner_name,venue,venue\n3,20220105,C,x,y\n")
+    write(folder / "atp_matches_2023.csv", "")
+    escaped = str(folder).replace("{", "\\{").replace("}", "\\}").replace("[", "\\[").replace("]", "\\]")
+    df = files.read_matches(spark, escaped, "atp", None, others=True, layout={"tour": "atp_matches_????.csv"})
+    rows = {r.match_num: (r.winner_name, r.tourney_date.year, r.others) for r in df.collect()}
+    assert rows == {1: ("A", 2020, {}), 2: ("B", 2021, {}), 3: ("C", 2022, {"venue3": "x", "venue4": "y"})}
+
+
 def test_players_by_position(spark, tmp_path):
     write(tmp_path / "p.csv", "player_id,first,last,hand,dob,ioc\n7,A,B,R,1990,POR\n")
     assert files.read_players(spark, str(tmp_path / "p.csv")).first().asDict() == {

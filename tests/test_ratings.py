@@ -1,6 +1,8 @@
 """Ratings against a plain walk, and the quirks that are kept."""
 
 import datetime
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -128,23 +130,108 @@ def test_player_against_self_counts_once(spark):
     assert table == {"A": (1510.0, 2), "B": (1490.0, 1)}
 
 
-def test_arrivals_equal_one_run(spark, random_matches, tmp_path):
-    from duelbook.streaming.yearly import rate_arrivals
+def columns_of(df):
+    return sorted(tuple(r) for r in df.select("tour", "match_num", "winner_elo_pre", "loser_elo_pre", "winner_elo_post", "loser_elo_post", "winner_played").collect())
+
+
+def test_arrivals_in_any_order_equal_one_run(spark, random_matches, tmp_path):
+    """Two tours; files in order, a late one of one tour, one that overlaps, one with rows that cannot be rated."""
+    from duelbook.streaming.yearly import current_ratings, rate_arrivals
 
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    players = spark.range(0, 40).withColumnRenamed("id", "player_id")
-    for lo, hi in (("2020-01-01", "2020-01-08"), ("2020-01-08", "2020-01-15"), ("2020-01-15", "2021-01-01")):
-        random_matches.where((F.col("tourney_date") >= lo) & (F.col("tourney_date") < hi)).write.mode("append").parquet(source)
-        rate_arrivals(spark, source, random_matches.schema, players, target)
-    full = {r.match_num: r.loser_elo_post for r in overall_elo(random_matches).collect()}
-    got = {r.match_num: r.loser_elo_post for r in spark.read.parquet(f"{target}/ratings").collect()}
-    assert got == full
-    random_matches.where(F.col("tourney_date") == "2020-01-05").write.mode("append").parquet(source)
-    try:
-        rate_arrivals(spark, source, random_matches.schema, players, target)
-        raise AssertionError("an older contest was accepted")
-    except Exception as error:
-        assert "arrive after" in str(error)
+    players = spark.range(0, 39).withColumnRenamed("id", "player_id")
+    day = F.expr("date_add(date'2020-01-20', datediff(tourney_date, date'2020-01-01') * 3)")
+    matches = random_matches.withColumn("tour", F.when(F.col("match_num") % 3 == 0, "B").otherwise("A")).withColumn("tourney_date", day)
+    late = (F.col("tour") == "B") & (F.col("match_num") % 7 == 0)
+    bad = matches.limit(3).withColumn("tourney_date", F.lit(None).cast("date")).unionByName(matches.limit(2).withColumn("loser_id", F.col("winner_id")))
+    files = [
+        matches.where((F.col("tourney_date") < "2020-02-10") & ~late), matches.where((F.col("tourney_date") >= "2020-02-10") & ~late),
+        matches.where(late & (F.col("tourney_date") < "2020-03-01")), matches.where(late).unionByName(bad), matches.where(late)]
+    for i, part in enumerate(files):
+        part.write.mode("append").parquet(source)
+        rate_arrivals(spark, source, matches.schema, players, target)
+        if i not in (2, 4):
+            continue
+        seen = files[0]
+        for more in files[1 : i + 1]:
+            seen = seen.unionByName(more)
+        good = seen.where("tourney_date is not null").dropDuplicates(["tour", "match_num", "winner_id", "loser_id"]).where("winner_id <> loser_id")
+        assert columns_of(current_ratings(spark, target)) == columns_of(overall_elo(good, players))
+    cuts = {(r.batch, r.tour): str(r.month) for r in spark.read.parquet(f"{target}/cuts").collect()}
+    assert (2, "A") not in cuts and cuts[2, "B"] == "2020-01-01"
+    aside = Counter((r.batch, r.reason) for r in spark.read.parquet(f"{target}/aside").collect())
+    assert aside[3, "null"] == 3 and aside[3, "self"] == 2 and aside[3, "repeated"] == files[2].join(
+        players.withColumnRenamed("player_id", "winner_id"), "winner_id").join(players.withColumnRenamed("player_id", "loser_id"), "loser_id").count()
+    assert aside[0, "unknown player"] and aside[4, "repeated"]
+
+
+def test_components(spark):
+    from duelbook.operators.graph import components
+
+    rng, edges = random.Random(4), []
+    for key in ("x", "y"):
+        edges += [(key, rng.randrange(200), rng.randrange(200)) for _ in range(90)]
+    edges += [("z", i, i + 1) for i in range(60)] + [("z", 500, 500), ("x", 7, 7)]
+    expected = {}
+    for key in "xyz":
+        head = {v: v for k, a, b in edges if k == key for v in (a, b)}
+        for _ in range(300):
+            for k, a, b in edges:
+                if k == key:
+                    head[a] = head[b] = min(head[a], head[b])
+        expected |= {(key, v): h for v, h in head.items()}
+    links = spark.createDataFrame(edges, "pool string, a long, b long")
+    assert {(r.pool, r.node): r.component for r in components(links, ["pool"]).collect()} == expected
+    assert components(links.where("false"), ["pool"]).count() == 0
+
+
+def test_chains_give_the_same_bits(spark, random_matches):
+    """One tour of leagues, and one that hangs together: independent chains, halved slices and the plain walk agree."""
+    leagues = random_matches.withColumns({
+        "winner_id": F.col("winner_id") * 10 + F.col("match_num") % 5, "loser_id": F.col("loser_id") * 10 + F.col("match_num") % 5})
+    for matches, sizes in ((leagues, {"chain_rows": 100}), (random_matches, {"chain_rows": 500, "chunk_rows": 400})):
+        expected = walk(by_round(matches), career=True)
+        rows = overall_elo(matches, **sizes).collect()
+        assert len(rows) == 1200
+        for r in rows:
+            assert (r.winner_elo_pre, r.loser_elo_pre, r.winner_elo_post, r.loser_elo_post) == expected[r.match_num]
+
+
+def test_chains_run_in_several_tasks(spark, random_matches):
+    from duelbook.operators import ratings
+
+    leagues = random_matches.select(
+        F.col("tour").alias("pool"), F.col("tourney_date").alias("d"), F.lit(0).cast("long").alias("r"), F.col("match_num").alias("m"),
+        (F.col("winner_id") * 10 + F.col("match_num") % 5).alias("w"), (F.col("loser_id") * 10 + F.col("match_num") % 5).alias("l"))
+    rated = ratings.rate(leagues, None, chain_rows=100)
+    used = rated.select(F.input_file_name().alias("f")).distinct().count()
+    assert used > 1 and rated.count() == 1200
+
+
+def test_chains_go_on_from_a_state(random_matches):
+    cut = datetime.date(2020, 1, 12)
+    full = {r.match_num: r.winner_elo_post for r in overall_elo(random_matches).collect()}
+    first = overall_elo(random_matches.where(F.col("tourney_date") <= cut))
+    state = rating_state(tables.snapshot(tables.rating_rows(first)))
+    rest = random_matches.where(F.col("tourney_date") > cut)
+    assert all(r.winner_elo_post == full[r.match_num] for r in overall_elo(rest, state=state, chain_rows=300).collect())
+
+
+def test_values_of_the_players_and_dates_asked(spark, random_matches):
+    series = tables.rating_series(tables.rating_rows(overall_elo(random_matches)))
+    order = lambda df: sorted((r.player, r.tourney_date, None if r.elo is None else round(r.elo, 9)) for r in df.collect())
+    dense = order(tables.interpolate(series))
+    asked = spark.createDataFrame([(p,) for p in (1, 5, 17, 99)], "player long")
+    dates = series.where(F.dayofmonth("tourney_date") % 4 == 1).select("tour", "tourney_date").distinct()
+    days = {r.tourney_date for r in dates.collect()}
+    assert order(tables.interpolate(series, players=[1, 5, 17, 99])) == [x for x in dense if x[0] in (1, 5, 17)]
+    assert order(tables.interpolate(series, players=asked, dates=dates)) == [x for x in dense if x[0] in (1, 5, 17) and x[1] in days]
+    assert order(tables.interpolate(series, dates=dates)) == [x for x in dense if x[1] in days]
+    for width in (1, 3, 64):
+        places = tables.positions(series)
+        assert order(tables.values_at(tables.intervals(series, places), places, width=width)) == dense
+    assert order(tables.rating_series(tables.rating_rows(overall_elo(random_matches)), players=[5])) == [
+        x for x in order(series) if x[0] == 5]
 
 
 def test_chunks_and_contests_against_oneself(spark, random_matches):
