@@ -52,13 +52,19 @@ def with_originals(rows: DataFrame, smallest: int = SMALLEST) -> DataFrame:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from ``SAMPLE`` whole pages of at most ``SAMPLE_BYTES`` bytes, by hash; empty if they are too few."""
+    """A dictionary from about ``SAMPLE`` different whole pages of at most ``SAMPLE_BYTES`` bytes, by hash; empty if too few.
+
+    The share of hashes that gives so many is found first, so tasks send the sample's pages and no more.
+    """
     import zstandard
 
-    sample = pages.select(F.col("html").cast("string").cast("binary").alias("payload")).where(
-        F.octet_length("payload").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("payload"), "payload").limit(SAMPLE)
+    short = pages.select(F.col("html").cast("string").cast("binary").alias("payload")).where(F.octet_length("payload").between(1, SAMPLE_BYTES))
+    short = short.withColumn("hash", F.xxhash64("payload"))
+    share = min(1.0, SAMPLE / max(1, short.agg(F.approx_count_distinct("hash", 0.02)).first()[0]))
+    chosen = short.where(F.pmod("hash", F.lit(1 << 40)) < int(share * (1 << 40))).dropDuplicates(["hash"])
+    sample = sorted((row["hash"], bytes(row["payload"])) for row in chosen.collect())
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(row[0]) for row in sample.collect()], level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [payload for _, payload in sample], level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b""
 

@@ -7,8 +7,11 @@ are needed is found without a common n-gram's group ever being formed:
    follows from the smaller set's size. The hash space is cut into P > H equal parts; a pair must agree wholly on one
    part, so each set emits one signature per part. Sets with H or fewer filled parts also emit their H + 1 smallest
    n-grams, of which a linked pair shares one. Nothing is missed.
-2. Sets that share a signature make clusters; only their texts move on. A cluster of more than a block is parted anew:
-   its sets are compared only within groups of one signature, by parity sketches of a few bits an n-gram. Each
+2. Sets that share a signature make clusters; only their texts move on. A cluster of more than a block, such as a passage
+   of many documents makes, is parted anew. All n-grams are put in one order, rare ones first: by the count of their cell in
+   a table of ``CELLS`` counters over all documents, then by hash. Whatever the order, a linked pair shares one of the first
+   |s| - t|s| + 1 n-grams of both sets, and a passage's n-grams come too late in it to gather the documents that hold it.
+   Sets are compared only within groups of one such n-gram, by parity sketches of a few bits an n-gram. Each
    n-gram of a symmetric difference turns one bit, so sketches that differ in more bits than a linked pair may have
    n-grams apart rule the pair out, never wrongly. What is left makes the clusters of the products.
 3. Several small clusters go to a task, large ones as pairs of blocks. In a task the product counts overlaps; pairs
@@ -37,6 +40,8 @@ COLUMNS = 8_192  # n-grams of one product
 BATCH = 1_000  # documents of small clusters in one task
 ENTRIES = 20_000  # members of signature groups in one task
 PAIR_BYTES = 32_000_000  # sketches of the pairs compared at once
+CELLS = 1 << 20  # counters of n-grams; their sum is the one thing sent to every task, 4 MB at any input size
+CELL_PARTS = 64  # parts in which tasks' counters are added up
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,7 +115,7 @@ PROFILE = f"kind int, {ROW} long, doc_id long, n long, hi long, lo long, part lo
 
 
 def profiles(n: int, num: int, den: int, ranges: int):
-    """Kind 0: a document's set; 1: packed signatures of a range; 2: packed links found inside the batch."""
+    """Kind 0: a document's set; 1: packed signatures of a range; 2: packed links found inside the batch; 3: n-grams counted."""
 
     def flush(keys, sets):
         keys, sets = tidy(np.concatenate(keys), np.concatenate(sets))
@@ -122,11 +127,12 @@ def profiles(n: int, num: int, den: int, ranges: int):
         return pd.DataFrame(out, columns=["kind", "part", "blob"]).assign(**{c: None for c in (ROW, "doc_id", "n", "hi", "lo")})
 
     def run(frames):
-        keys, sets, held = [], [], 0
+        keys, sets, held, counts = [], [], 0, np.zeros(CELLS, np.int64)
         for frame in chunks(frames):
             rows = []
             for row, doc, text in zip(frame[ROW], frame["doc_id"].astype("Int64"), frame["text"]):
                 h = grams(text, n)
+                np.add.at(counts, cells_of(h), 1)
                 hi, lo = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
                 rows.append((0, row, doc, len(h), hi, lo))
                 own = signatures(h, num, den)
@@ -141,10 +147,41 @@ def profiles(n: int, num: int, den: int, ranges: int):
                 keys, sets, held = [], [], 0
         if held:
             yield flush(keys, sets)
+        filled = np.flatnonzero(counts)
+        out = [(3, part, blob) for part, blob in by_range(filled * CELL_PARTS // CELLS, filled.astype(np.uint32), counts[filled])]
+        yield pd.DataFrame(out, columns=["kind", "part", "blob"]).assign(**{c: None for c in (ROW, "doc_id", "n", "hi", "lo")})
 
     return run
 
 
+def cells_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def added_cells(frame: pd.DataFrame) -> pd.DataFrame:
+    """All tasks' counters of one part of the cells, added up."""
+    found = [from_blob(b) for b in frame["blob"]]
+    cells, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    counts = np.zeros(len(cells), np.int64)
+    np.add.at(counts, place, np.concatenate([f[1] for f in found]))
+    return pd.DataFrame({"blob": [to_blob(cells, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))]})
+
+
+def frequencies(made: DataFrame) -> np.ndarray:
+    """How many n-grams of all documents fell into each cell."""
+    total = np.zeros(CELLS, np.uint32)
+    for row in made.where("kind = 3").select("part", "blob").groupBy("part").applyInPandas(added_cells, "blob binary").collect():  # CELL_PARTS rows
+        cells, counts = from_blob(bytes(row["blob"]))
+        total[cells] = counts
+    return total
+
+
+def rare_first(h: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first n-grams of a set in the common order, as many as make any two linked sets share one."""
+    order = np.lexsort((h, counts[cells_of(h)]))
+    return h[order[: len(h) - -(-num * len(h) // den) + 1]]
+
+
 def range_links(frame: pd.DataFrame) -> pd.DataFrame:
     """Links of sets that share a signature of one range, to the least of them; links found before pass through."""
     found = [from_blob(b) for b in frame["blob"][frame["kind"] == 1]]
@@ -177,13 +214,13 @@ def folded(sketches: np.ndarray, width: int) -> np.ndarray:
 SKETCH = f"{ROW} long, n long, bits binary, keys array<long>"
 
 
-def sketches(n: int, num: int, den: int):
+def sketches(n: int, num: int, den: int, counts):
     def run(frames):
         for frame in chunks(frames):
             rows = []
             for row, text in zip(frame[ROW], frame["text"]):
                 h = grams(text, n)
-                rows.append((row, len(h), sketch(h).tobytes(), np.unique(signatures(h, num, den)).view(np.int64)))
+                rows.append((row, len(h), sketch(h).tobytes(), rare_first(h, counts.value, num, den).view(np.int64)))
             yield pd.DataFrame(rows, columns=[ROW, "n", "bits", "keys"])
 
     return run
@@ -265,10 +302,11 @@ def in_blocks(spark, members: DataFrame, group: str, count: str, batches: int, *
     return small.union(large.select(ROW, *more, pair.alias("task"), side, pair.alias("batch")))
 
 
-def parted(held: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def parted(held: DataFrame, counts: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """``(ROW, component)``: clusters of the rows of ``held`` whose sketches allow a link; rows without a partner are left out."""
     spark = held.sparkSession
-    made = stored(held.select(ROW, "text").mapInPandas(sketches(n, num, den), SKETCH), "sketches")
+    sent = spark.sparkContext.broadcast(counts)
+    made = stored(held.select(ROW, "text").mapInPandas(sketches(n, num, den, sent), SKETCH), "sketches")
     keys = made.select(ROW, F.explode("keys").alias("key"))
     mark = (F.count("*").alias("m"), F.bit_xor(F.xxhash64(ROW)).alias("x"), F.bit_xor(F.xxhash64(ROW, F.lit(1))).alias("y"))
     groups = keys.groupBy("key").agg(*mark).where("m > 1")
@@ -361,7 +399,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     each = made.where("kind = 0").select(ROW, "doc_id", "n", "hi", "lo")
     classes = each.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", ROW)).alias("first"), F.first("n").alias("n"))
     classes = stored(classes.select("hi", "lo", "n", "first", F.col(f"first.{ROW}").alias(ROW)), "classes")
-    links = made.where("kind > 0").select("kind", "part", "blob").groupBy("part").applyInPandas(range_links, "a long, b long")
+    links = made.where("kind in (1, 2)").select("kind", "part", "blob").groupBy("part").applyInPandas(range_links, "a long, b long")
     clusters = components(links)
 
     members = classes.join(clusters.withColumnRenamed("node", "lo"), "lo").select(ROW, "component")
@@ -369,7 +407,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     placed = members.join(members.groupBy("component").agg(F.count("*").alias("m")), "component")
     # Both sides grow with the rows: never a broadcast, whatever the size.
     held = stored(docs.select(ROW, "text").join(placed.hint("merge"), ROW), "held")
-    finer = stored(parted(held.where(F.col("m") > BLOCK), n, num, den), "finer")
+    finer = stored(parted(held.where(F.col("m") > BLOCK), frequencies(made), n, num, den), "finer")
     finer = finer.join(finer.groupBy("component").agg(F.count("*").alias("m")), "component")
     batches = max(1, -(-members.count() // BATCH))
     again = held.where(F.col("m") > BLOCK).select(ROW, "text").join(finer.hint("merge"), ROW)
