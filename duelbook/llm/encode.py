@@ -19,8 +19,12 @@ WORDS = re.compile(rf"[^{BLANK}]+")
 # Any blank other than single spaces and line ends between other characters, and what marks a literal key.
 UNEVEN = re.compile(rf"[{BLANK}][{BLANK}]|[^\S \n]|[\x85\0]|\A[{BLANK}]|[{BLANK}]\Z")
 NOT_WHITE = re.compile(r"[\x1c-\x1f]")  # split() would cut there
-# A mark between a letter and a blank is a pre-token of its own.
-MARK = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|\Z)")
+# A mark between a letter and a blank is a pre-token of its own. It is looked for by the mark, the rarest part.
+MARK = re.compile(r"([.,])(?=\s|\Z)(?<=[^\W\d_][.,])")
+# Words of plain letters are one pre-token that nothing changes but the byte-level blank: the model alone gives their ids.
+PLAIN = {"spaced": re.compile(" ?[A-Za-z]+"), "words": re.compile("[a-z]+")}
+BYTE_BLANK = "\u0120"
+TRIAL = 300  # made-up words on which that is tried before it is relied on
 OTHER_CASE = re.compile("[\u0130\u0250-\U0010ffff]")  # letters that may lower otherwise than in the tokenizer
 MOST_KEPT = 1_200_000
 
@@ -42,6 +46,10 @@ class Encoder:
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.simple = self.tokenizer.model, PLAIN[kind]
+        trial = [("" if kind == "words" else " " * (i % 2)) + "".join(chr(97 + (i * i * 7 + 11 * j * (i + j)) % 26) for j in range(1 + i % 12)) for i in range(TRIAL)]
+        if self.ids_of(trial) != [e.ids for e in self.tokenizer.encode_batch(trial, add_special_tokens=False)]:
+            self.simple = re.compile(r"(?!)")
         self.clear()
 
     def clear(self):
@@ -71,7 +79,7 @@ class Encoder:
         keys = list(self.known)[self.done :] if self.done < len(self.known) else []
         for at in range(0, len(keys), 10_000):
             batch = keys[at : at + 10_000]
-            found = [e.ids for e in self.tokenizer.encode_batch([self.plain(k) for k in batch], add_special_tokens=False)]
+            found = self.ids_of([self.plain(k) for k in batch])
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum()))
             while self.filled + len(ids) > len(self.flat):
@@ -83,6 +91,15 @@ class Encoder:
             self.length[self.done : self.done + len(batch)] = lengths
             self.filled, self.done = self.filled + len(ids), self.done + len(batch)
 
+    def ids_of(self, keys: list[str]) -> list[list[int]]:
+        """The ids of each key by itself."""
+        match, tokenize = self.simple.fullmatch, self.model.tokenize
+        found = [[t.id for t in tokenize(k.replace(" ", BYTE_BLANK))] if match(k) else None for k in keys]
+        rest = [i for i, f in enumerate(found) if f is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch([keys[i] for i in rest], add_special_tokens=False)):
+            found[i] = e.ids
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them."""
         if len(self.known) > MOST_KEPT:

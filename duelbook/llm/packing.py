@@ -25,42 +25,36 @@ DOCS_PER_GROUP = 1024
 
 
 def difference(lengths: np.ndarray, k: int) -> np.ndarray:
-    """The window, 0 to k - 1, of each piece."""
-    n = len(lengths)
-    left, right = np.full(2 * n, -1, np.int64), np.full(2 * n, -1, np.int64)
-    heap, made = [], n
-    for i in np.argsort(-lengths, kind="stable"):
-        sums, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        sums[0], nodes[0] = lengths[i], i
-        heap.append((-int(lengths[i]) if k > 1 else 0, int(i), sums, nodes))
+    """The window, 0 to k - 1, of each piece.
+
+    A partial partition is its filled loads alone, fullest first: most of the ``k`` are empty until late.
+    """
+    n, joints = len(lengths), []
+    heap = [(-int(x) if k > 1 else 0, i, [(-int(x), i)]) for i, x in enumerate(lengths)]
     heapq.heapify(heap)
     order = n
     while len(heap) > 1:
-        _, _, sums, nodes = heapq.heappop(heap)
-        _, _, other, others = heapq.heappop(heap)
-        sums, others = sums + other[::-1], others[::-1]
-        both = np.flatnonzero((nodes >= 0) & (others >= 0))
-        nodes = np.where(nodes >= 0, nodes, others)
-        if len(both):
-            joint = made + np.arange(len(both))
-            if made + len(both) > len(left):
-                left, right = np.append(left, np.full_like(left, -1)), np.append(right, np.full_like(right, -1))
-            left[joint], right[joint] = nodes[both], others[both]
-            nodes[both] = joint
-            made += len(both)
-        by = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[by], nodes[by]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), order, sums, nodes))
+        _, _, one = heapq.heappop(heap)
+        _, _, other = heapq.heappop(heap)
+        # the fullest of one meets the emptiest of the other: only what exceeds k loads meets a filled one
+        alone, over = k - len(other), max(0, len(one) + len(other) - k)
+        merged = one[: max(alone, 0)] + other[: k - len(one)] if over else one + other
+        for i in range(alone, alone + over):
+            a, b = one[i], other[k - 1 - i]
+            joints.append((a[1], b[1]))
+            merged.append((a[0] + b[0], n + len(joints) - 1))
+        merged.sort()
+        heapq.heappush(heap, (merged[0][0] - (merged[-1][0] if len(merged) == k else 0), order, merged))
         order += 1
     window = np.zeros(n, np.int64)
-    for w, node in enumerate(heap[0][3]):
-        stack = [node] if node >= 0 else []
+    for w, (_, node) in enumerate(heap[0][2]):
+        stack = [node]
         while stack:
             node = stack.pop()
             if node < n:
                 window[node] = w
             else:
-                stack += [left[node], right[node]]
+                stack += joints[node - n]
     return window
 
 
