@@ -1,13 +1,16 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby move their score.
 
 Kinds with a fixed pattern (``email``, ``ip``, ``card``, ``phone``) are always kept when their check holds. The method
-adds ``iban`` (mod-97) and ``short_card`` (13 to 15 digits, Luhn), which are kept from a score of ``KEEP`` on.
+adds ``iban`` (mod-97), ``short_card`` (13 to 15 digits, Luhn) and ``secret`` (16 and more letters and digits without order, by
+their entropy), which are kept from a score of ``KEEP`` on: a secret needs a known prefix or a word nearby that names one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame
 from duelbook.llm.common import chunks, texts
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "short_card")
+KINDS = (*BASE, "iban", "short_card", "secret")
 KEEP = 0.75
 NEAR = 40
 
@@ -26,19 +29,23 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_/-])[A-Za-z0-9_-]{16,}+(?!/)")
+PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|eyJ")  # how keys of known services begin
+LEAST_BITS = 2.8  # a letter's entropy in a key; words and numbers with order have less
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 # Checked by a sum: 0.8; by form alone: 0.6. Words near a span raise or lower that.
-START = {"email": 0.6, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "short_card": 0.6}
+START = {"email": 0.6, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "short_card": 0.6, "secret": 0.6, "known": 0.8}
 HELPS = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
     "phone": ("phone", "call", "tel", "mobile", "fax"), "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "short_card": ("card", "amex", "credit", "payment", "karte", "carte", "tarjeta"),
+    "secret": ("token", "password", "passwd", "pwd", "secret", "key", "apikey", "api_key", "access_key", "credential", "passwort", "clave", "auth", "bearer"),
 }
 HURTS = {
     "ip": ("version", "release", "section"), "card": ("isbn", "order", "serial"), "phone": ("isbn", "serial"),
-    "iban": ("serial", "part"), "short_card": ("isbn", "order", "serial", "id"),
+    "iban": ("serial", "part"), "secret": ("sha", "sha1", "md5", "checksum", "commit", "digest"), "short_card": ("isbn", "order", "serial", "id"),
 }
 WORD = re.compile(r"\w+")
 
@@ -55,6 +62,13 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def without_order(text: str) -> bool:
+    """Letters and digits mixed, with the entropy of a key."""
+    if not (any(map(str.isdigit, text)) and any(map(str.isalpha, text))):
+        return False
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values()) >= LEAST_BITS
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Matches of local part, @ and domain, found from each @ outwards so that long runs cost their length only."""
     found, last, at = [], 0, text.find("@")
@@ -77,7 +91,7 @@ def small_part(part: str) -> bool:
 
 def score(text: str, kind: str, start: int, end: int) -> float:
     near = set(WORD.findall(text[max(0, start - NEAR) : start].lower())) | set(WORD.findall(text[end : end + NEAR].lower()))
-    value = START[kind] + 0.2 * (not near.isdisjoint(HELPS[kind])) - 0.2 * (not near.isdisjoint(HURTS.get(kind, ())))
+    value = START["known" if kind == "secret" and PREFIX.match(text, start) else kind] + 0.2 * (not near.isdisjoint(HELPS[kind])) - 0.2 * (not near.isdisjoint(HURTS.get(kind, ())))
     return min(1.0, max(0.0, value))
 
 
@@ -93,7 +107,8 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     if "+" in text:
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(NOT_DIGIT.sub("", m[0])) <= 15]
     found += [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
-    scored = [(kind, a, b, round(score(text, kind, a, b), 2)) for kind, a, b in found + short]
+    secrets = [("secret", *m.span()) for m in SECRET.finditer(text) if without_order(m[0])]
+    scored = [(kind, a, b, round(score(text, kind, a, b), 2)) for kind, a, b in found + short + secrets]
     return [s for s in scored if s[0] in BASE or s[3] >= KEEP]
 
 
