@@ -132,7 +132,7 @@ def profiles(n: int, num: int, den: int, ranges: int):
             rows = []
             for row, doc, text in zip(frame[ROW], frame["doc_id"].astype("Int64"), frame["text"]):
                 h = grams(text, n)
-                np.add.at(counts, cells_of(h), 1)
+                add_cells(counts, h)
                 hi, lo = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
                 rows.append((0, row, doc, len(h), hi, lo))
                 own = signatures(h, num, den)
@@ -147,9 +147,7 @@ def profiles(n: int, num: int, den: int, ranges: int):
                 keys, sets, held = [], [], 0
         if held:
             yield flush(keys, sets)
-        filled = np.flatnonzero(counts)
-        out = [(3, part, blob) for part, blob in by_range(filled * CELL_PARTS // CELLS, filled.astype(np.uint32), counts[filled])]
-        yield pd.DataFrame(out, columns=["kind", "part", "blob"]).assign(**{c: None for c in (ROW, "doc_id", "n", "hi", "lo")})
+        yield packed_cells(counts).assign(kind=3, **{c: None for c in (ROW, "doc_id", "n", "hi", "lo")})
 
     return run
 
@@ -158,6 +156,26 @@ def cells_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+def add_cells(counts: np.ndarray, h: np.ndarray):
+    np.add.at(counts, cells_of(h), 1)
+
+
+def packed_cells(counts: np.ndarray) -> pd.DataFrame:
+    filled = np.flatnonzero(counts)
+    return pd.DataFrame(by_range(filled * CELL_PARTS // CELLS, filled.astype(np.uint32), counts[filled]), columns=["part", "blob"])
+
+
+def count_cells(n: int):
+    def run(frames):
+        counts = np.zeros(CELLS, np.int64)
+        for frame in chunks(frames):
+            for text in frame["text"]:
+                add_cells(counts, grams(text, n))
+        yield packed_cells(counts)
+
+    return run
+
+
 def added_cells(frame: pd.DataFrame) -> pd.DataFrame:
     """All tasks' counters of one part of the cells, added up."""
     found = [from_blob(b) for b in frame["blob"]]
@@ -167,10 +185,10 @@ def added_cells(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"blob": [to_blob(cells, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))]})
 
 
-def frequencies(made: DataFrame) -> np.ndarray:
-    """How many n-grams of all documents fell into each cell."""
+def frequencies(packed: DataFrame) -> np.ndarray:
+    """The sums of all tasks' ``(part, blob)`` counters."""
     total = np.zeros(CELLS, np.uint32)
-    for row in made.where("kind = 3").select("part", "blob").groupBy("part").applyInPandas(added_cells, "blob binary").collect():  # CELL_PARTS rows
+    for row in packed.groupBy("part").applyInPandas(added_cells, "blob binary").collect():  # CELL_PARTS rows
         cells, counts = from_blob(bytes(row["blob"]))
         total[cells] = counts
     return total
@@ -302,9 +320,14 @@ def in_blocks(spark, members: DataFrame, group: str, count: str, batches: int, *
     return small.union(large.select(ROW, *more, pair.alias("task"), side, pair.alias("batch")))
 
 
-def parted(held: DataFrame, counts: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """``(ROW, component)``: clusters of the rows of ``held`` whose sketches allow a link; rows without a partner are left out."""
+def parted(held: DataFrame, n: int, num: int, den: int, counts: np.ndarray | None = None) -> DataFrame:
+    """``(ROW, component)``: clusters of the rows of ``held`` whose sketches allow a link; rows without a partner are left out.
+
+    ``counts`` are the cells' sums that order the n-grams; without, they are made of the rows themselves.
+    """
     spark = held.sparkSession
+    if counts is None:
+        counts = frequencies(held.select("text").mapInPandas(count_cells(n), "part long, blob binary"))
     sent = spark.sparkContext.broadcast(counts)
     made = stored(held.select(ROW, "text").mapInPandas(sketches(n, num, den, sent), SKETCH), "sketches")
     keys = made.select(ROW, F.explode("keys").alias("key"))
@@ -407,7 +430,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     placed = members.join(members.groupBy("component").agg(F.count("*").alias("m")), "component")
     # Both sides grow with the rows: never a broadcast, whatever the size.
     held = stored(docs.select(ROW, "text").join(placed.hint("merge"), ROW), "held")
-    finer = stored(parted(held.where(F.col("m") > BLOCK), frequencies(made), n, num, den), "finer")
+    finer = stored(parted(held.where(F.col("m") > BLOCK), n, num, den, frequencies(made.where("kind = 3").select("part", "blob"))), "finer")
     finer = finer.join(finer.groupBy("component").agg(F.count("*").alias("m")), "component")
     batches = max(1, -(-members.count() // BATCH))
     again = held.where(F.col("m") > BLOCK).select(ROW, "text").join(finer.hint("merge"), ROW)

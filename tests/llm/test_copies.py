@@ -177,6 +177,61 @@ def test_a_passage_in_all_documents_parts_into_small_clusters(spark, monkeypatch
     assert finer.groupBy("component").count().agg({"count": "max"}).first()[0] <= 4
 
 
+def test_linked_sets_share_a_rare_gram():
+    rng = np.random.default_rng(21)
+    counts = np.zeros(jaccard.CELLS, np.uint32)
+    passage = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
+    jaccard.add_cells(counts, np.repeat(passage, 1000))
+    for _ in range(300):
+        num, den = ((8, 10), (9, 10))[rng.integers(2)]
+        a = np.unique(np.append(rng.choice(passage, rng.integers(0, 200)), rng.integers(0, 1 << 63, rng.integers(1, 60), dtype=np.uint64)))
+        drop = rng.permutation(len(a))[: rng.integers(0, max(1, len(a) // 6))]
+        b = np.unique(np.append(np.delete(a, drop), rng.integers(0, 1 << 63, rng.integers(0, 6), dtype=np.uint64)))
+        if len(b) and den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+            assert len(np.intersect1d(*(jaccard.rare_first(s, counts, num, den) for s in (a, b))))
+    own = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+    assert not len(np.intersect1d(jaccard.rare_first(np.unique(np.append(passage, own)), counts, 8, 10), passage))
+
+
+def test_a_passage_in_all_documents_makes_few_candidates(spark, monkeypatch, tmp_path):
+    """What meets does not grow with the number of documents that hold a passage."""
+    rng = random.Random(17)
+    word = lambda: f"u{rng.randrange(10**6)}"
+    passage, seen = [word() for _ in range(60)], []
+    made = jaccard.in_blocks
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "in_blocks", lambda spark, members, group, *more: seen.append((group, members)) or made(spark, members, group, *more))
+    for size in (100, 400):
+        rows = [(i, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)])) for i in range(size)]
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / str(size)))
+        seen.clear()
+        out = jaccard.join(spark.read.parquet(str(tmp_path / str(size))), 5, 8, 10)
+        assert out.where("component_id <> doc_id").count() == 0
+        assert sum(members.count() for group, members in seen if group == "key") <= 2 * size
+
+
+def test_numbers_do_not_depend_on_the_cores(spark, tmp_path):
+    """Another number of cores cuts files elsewhere; decisions made before still meet their rows."""
+    from duelbook.llm import common
+
+    rows = [(i, f"text {i} " * 20) for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    kept = {key: spark.conf.get(key, None) for key in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes")}
+    found = []
+    try:
+        for cores, most in ((4, "64k"), (2, "16k"), (1, "128m")):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            docs = common.numbered(spark.read.parquet(str(tmp_path / "d")).where("doc_id % 3 <> 1"))
+            found.append(sorted((r["doc_id"], r[common.ROW]) for r in docs.collect()))
+    finally:
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert found[0] == found[1] == found[2] and len({row for _, row in found[0]}) == len(found[0]) == 2667
+    twice = spark.read.parquet(str(tmp_path / "d")).limit(10)
+    assert len({r[common.ROW] for r in common.numbered(twice.union(twice)).collect()}) == 20
+
+
 def test_components(spark):
     rng = random.Random(11)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(7, 7)]
