@@ -69,25 +69,30 @@ def features(rated: DataFrame, mode: str = "asof", elo: tuple[str, str] = ("winn
 
 
 def _full_features(valid: DataFrame) -> DataFrame:
-    persp = perspectives(valid, "name", KEY)
-    record = surface_record(persp, SURFACES)
-    out = persp
-    for role in ("player", "opponent"):
-        side = record.select(
-            F.col("player").alias(role), "surface", F.col("win_rate").alias(f"{role}_surface_win_rate"),
-            F.col("total").alias(f"{role}_surface_matches"))
-        out = out.join(side, [role, "surface"], "left")
-        out = out.withColumn(f"{role}_surface_win_rate", F.coalesce(f"{role}_surface_win_rate", F.lit(0.5)))
-        out = out.withColumn(f"{role}_surface_matches", F.coalesce(f"{role}_surface_matches", F.lit(0)))
-    out = out.join(h2h(persp), ["player", "opponent"])
-    total = F.col("wins") + F.col("losses")
-    return out.select(
-        *KEY, "player", "opponent", F.col("player_stored_elo").alias("player_elo"),
-        F.col("opponent_stored_elo").alias("opponent_elo"),
-        (F.col("player_stored_elo") - F.col("opponent_stored_elo")).alias("elo_diff"),
-        rate_or_half(F.col("wins"), total).alias("h2h_win_rate"), total.alias("h2h_matches"),
-        "player_surface_win_rate", "player_surface_matches", "opponent_surface_win_rate",
-        "opponent_surface_matches", "target")
+    """Statistics over all contests; contests are joined once, the two perspectives are laid out after the joins."""
+    record = surface_record(perspectives(valid, "name", KEY), SURFACES)
+    rows = valid.select(*KEY, *RATED_NEEDED[:2], *RATED_NEEDED[3:])
+    for column, tag in (("winner_name", "a"), ("loser_name", "b")):
+        side = record.select(F.col("player").alias(column), "surface", F.col("win_rate").alias(f"{tag}_rate"), F.col("total").alias(f"{tag}_n"))
+        rows = rows.join(side, [column, "surface"], "left")
+    w, l = F.col("winner_name"), F.col("loser_name")
+    # a contest of a player against itself is one won and one lost
+    met = valid.groupBy(F.least(w, l).alias("lo"), F.greatest(w, l).alias("hi")).agg(
+        F.sum(F.when(w == l, 2).otherwise(1)).alias("met"), F.sum((w <= l).cast("long")).alias("met_lo"))
+    rows = rows.withColumns({"lo": F.least(w, l), "hi": F.greatest(w, l)}).join(met, ["lo", "hi"])
+    won = F.when(w == F.col("lo"), F.col("met_lo")).otherwise(F.col("met") - F.col("met_lo"))
+
+    def view(own, other, a, b, wins, target):
+        elo, against = F.col(f"{own}_surface_elo"), F.col(f"{other}_surface_elo")
+        sides = [(f"{role}_surface_{name}", F.coalesce(f"{tag}_{c}", F.lit(missing)))
+                 for role, tag in (("player", a), ("opponent", b)) for name, c, missing in (("win_rate", "rate", 0.5), ("matches", "n", 0))]
+        return F.struct(
+            F.col(f"{own}_name").alias("player"), F.col(f"{other}_name").alias("opponent"), elo.alias("player_elo"), against.alias("opponent_elo"),
+            (elo - against).alias("elo_diff"), rate_or_half(wins, F.col("met")).alias("h2h_win_rate"), F.col("met").alias("h2h_matches"),
+            *[column.alias(name) for name, column in sides], F.lit(target).cast("long").alias("target"))
+
+    views = F.array(view("winner", "loser", "a", "b", won, 1), view("loser", "winner", "b", "a", F.col("met") - won, 0))
+    return rows.select(*KEY, F.explode(views).alias("v")).select(*KEY, "v.*")
 
 
 def features_asof(queries: DataFrame, rated: DataFrame) -> DataFrame:

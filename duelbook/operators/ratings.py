@@ -149,7 +149,7 @@ def _fold(bouts: DataFrame, state: DataFrame | None, k: float | None, start: flo
                     [*(part.column(c) for c in ("pool", "d", "r", "m", "w", "l")), *map(pa.array, made)], schema=schema)
 
     dealt = rows.repartition(tasks, "pool") if tasks else rows.repartition("pool")
-    ordered = dealt.sortWithinPartitions("pool", F.desc("carried"), "d", "r", "m")
+    ordered = dealt.sortWithinPartitions("pool", F.desc("carried"), "d", "r", "m", "w", "l")
     return ordered.mapInArrow(walk, BOUT_SCHEMA)
 
 
@@ -198,8 +198,9 @@ def _relax_slice(views: DataFrame, k: float | None, relay: Relay) -> DataFrame:
             cols["win"] = pc.subtract(1, cols["win"])
             yield pa.RecordBatch.from_arrays([cols[swap.get(f.name, f.name)] for f in schema], schema=schema)
 
+    winner = F.when(F.col("win") == 1, F.col("player")).otherwise(F.col("opponent"))
     while True:
-        ordered = views.repartition("pool", "player").sortWithinPartitions("pool", "player", "d", "r", "m")
+        ordered = views.repartition("pool", "player").sortWithinPartitions("pool", "player", "d", "r", "m", winner, "opponent")
         views = relay.keep(ordered.mapInArrow(walk, views.schema))
         if views.where("moved = 1").isEmpty():
             return views
@@ -330,7 +331,7 @@ def _one_by_one(cut: DataFrame, state: DataFrame | None, step) -> DataFrame:
         ends = rated.select("pool", "d", "r", "m", F.explode(F.array(*[
             F.struct(F.col(p).alias("player"), F.col(f"{p}_post").alias("post"), F.col(f"{p}_n").alias("played")) for p in ("w", "l")
         ])).alias("v")).select("pool", "d", "r", "m", "v.*")
-        last = ends.groupBy("pool", "player").agg(F.max_by(F.struct("post", "played"), F.struct("d", "r", "m")).alias("last"))
+        last = ends.groupBy("pool", "player").agg(F.max_by(F.struct("post", "played"), F.struct("d", "r", "m", "played")).alias("last"))
         last = last.select("pool", "player", F.col("last.post").alias("elo"), (F.col("last.played") + 1).alias("n"))
         state = states.keep(state.join(last, ["pool", "player"], "left_anti").unionByName(last))
     return spark.read.schema(BOUT_SCHEMA).parquet(*[f"{done_path}/part={number}" for number in numbers])
@@ -343,7 +344,8 @@ def rate(
     """Ratings before and after each contest of ``bouts(pool, d, r, m, w, l)``.
 
     ``k`` None means the career rule.  ``state(pool, player, elo, n)`` carries earlier ratings in.
-    ``m`` must be unique among a pool's contests of one day and two players.
+    ``m`` must be unique among a pool's contests of one day and two players; contests of a day that share it go by
+    winner, then loser.
     """
     bouts = bouts.where("w <> l")
     pools = bouts.groupBy("pool").agg(

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from duelbook.operators import models
 from duelbook.operators.boosting import train_second_order
 from duelbook.operators.features import features, features_asof
-from duelbook.operators.splits import split_temporal
+from duelbook.operators.splits import even_folds, split_temporal
 from duelbook.plans.catalog import query, r6
 from duelbook.plans.feature_queries import ASOF_FEATURES
-from duelbook.plans.history_queries import ASOF_SQL, RPERSP, pairings
+from duelbook.plans.history_queries import ASOF_SQL, PERSP, RPERSP, pairings
 from duelbook.plans.source_queries import stored_rated
 from duelbook.session import cut_lineage, scratch_path
 
@@ -221,3 +222,67 @@ def b5_reloaded(spark, sf):
     both = first.score(held).select("match_num", "target", "p").join(
         again.score(held).select("match_num", "target", F.col("p").alias("q")), ["match_num", "target"])
     return both.select("match_num", "target", (F.col("p") == F.col("q")).alias("same"))
+
+
+# --- facts of the models that SQL can tell: how many rows, what range, what means ------------
+
+@query("i1_forest_facts", """
+select "set", count(*) as n, true as in_range, case when "set" = 'train' then true end as learned from pred group by 1
+""", "rated_ev", ASOF_FEATURES + "," + ELO_PRED)
+def i1_facts(spark, sf):
+    """A balanced forest gives every row a probability, and a loss below that of even odds where it learned."""
+    rows = split_rows(spark, sf)
+    loss = -F.avg(F.log(F.greatest(F.when(F.col("target") == 1, F.col("p")).otherwise(1 - F.col("p")), F.lit(1e-9))))
+    return models.train_forest(rows.where("set = 'train'"), "small", balanced=True).score(rows).groupBy("set").agg(
+        F.count("*").alias("n"), F.min(F.col("p").between(0, 1)).alias("in_range"),
+        F.when(F.col("set") == "train", loss < F.log(F.lit(2.0))).alias("learned"))
+
+
+@query("i4_calibration_facts", """
+with c as (select target, count(*) as n from pred where "set" = 'train' group by 1),
+f as (select fold, sum(n * (fold + 1) // 3 - n * fold // 3)::bigint as n, sum(target * (n * (fold + 1) // 3 - n * fold // 3)) as ones
+      from c, range(3) t(fold) group by fold)
+select fold::int as fold, n, round(ones / n, 6) as mean_target, round(ones / n, 6) as mean_p, true as monotone from f
+""", "rated_ev", ASOF_FEATURES + "," + ELO_PRED)
+def i4_facts(spark, sf):
+    """On the rows it was fitted to, a fold's curve has their mean and does not fall with the raw score."""
+    rows = split_rows(spark, sf).where("set = 'train'")
+    identity = ["match_num", "target"]
+    parts = models.calibrate(rows, identity).parts
+    folded = cut_lineage(even_folds(rows, identity, 3, models.SEED))
+    out = None
+    for fold, (bundle, curve) in enumerate(parts):
+        held = bundle.score(folded.where(F.col("fold") == fold), "raw")
+        held = curve.setFeaturesCol("raw").setPredictionCol("p").transform(held)
+        steps = held.groupBy("fold", "raw").agg(F.first("p").alias("p"), F.count("*").alias("n"), F.sum("target").alias("ones"))
+        before = F.lag("p").over(Window.partitionBy("fold").orderBy("raw"))
+        facts = steps.withColumn("rises", F.coalesce(F.col("p") >= before, F.lit(True))).groupBy("fold").agg(
+            F.sum("n").alias("n"), (F.sum("ones") / F.sum("n")).alias("mean_target"),
+            (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_p"), F.min("rises").alias("monotone"))
+        out = facts if out is None else out.unionByName(facts)
+    return out.select("fold", "n", r6("mean_target").alias("mean_target"), r6("mean_p").alias("mean_p"), "monotone")
+
+
+@query("i5_predict_facts", """
+select query_id, true as agrees, true as in_range from pairings_v
+where player1 in (select player from persp) and player2 in (select player from persp)
+""", "contests_ev pairings_v", PERSP)
+def i5_facts(spark, sf):
+    """Every pairing of known players has a winner that goes with its probability."""
+    rows = split_rows(spark, sf)
+    model = models.train_forest(rows.where("set = 'train'"), "small")
+    scored = models.predict(pairings(spark, sf), stored_rated(spark, sf), model)
+    first = F.col("p") > 0.5
+    return scored.select(
+        "query_id", (F.when(first, F.col("player1")).otherwise(F.col("player2")) == F.col("winner")).alias("agrees"),
+        (F.col("p").between(0, 1) & F.col("confidence").between(0.5, 1)).alias("in_range"))
+
+
+@query("j4_importance_facts", "select 12::bigint as columns, 1.0::double as total, true as ordered")
+def j4_facts(spark, sf):
+    """A forest's importances: one for each model column, shares of one, highest first."""
+    rows = split_rows(spark, sf)
+    table = models.train_forest(rows.where("set = 'train'"), "small").importances(len(models.COLUMNS))
+    before = F.lag("importance").over(Window.orderBy(F.desc("importance"), "feature"))
+    return table.withColumn("ordered", F.coalesce(F.col("importance") <= before, F.lit(True))).agg(
+        F.count("*").alias("columns"), r6(F.sum("importance")).alias("total"), F.min("ordered").alias("ordered"))

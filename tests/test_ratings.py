@@ -249,8 +249,17 @@ def test_chunks_and_contests_against_oneself(spark, random_matches):
 
 
 def test_numbers_may_repeat_between_tournaments(spark, random_matches):
-    """Two tournaments that both have a contest 1 stay two rows each with its own ratings."""
-    rows = random_matches.where("surface is not null")
-    again = rows.withColumn("match_num", F.col("match_num") % 30)
-    keys = ["tourney_date", "winner_id", "loser_id", "surface"]
-    assert again.dropDuplicates(["match_num", *keys]).count() == surface_elo(again.dropDuplicates(["match_num", *keys])).count()
+    """Two tournaments that both have a contest 1 stay two rows each with its own ratings, by winner and loser inside a number."""
+    keys = ["match_num", "tourney_date", "winner_id", "loser_id", "surface"]
+    again = random_matches.where("surface is not null").withColumn("match_num", F.col("match_num") % 30).dropDuplicates(keys)
+    rows = sorted(again.collect(), key=lambda r: (r.tourney_date, r.match_num, r.winner_id, r.loser_id))
+    elo, expected = {}, {}
+    for r in rows:
+        w, l = (r.surface, r.winner_id), (r.surface, r.loser_id)
+        a, b = elo.get(w, 1500.0), elo.get(l, 1500.0)
+        e = 1 / (1 + 10 ** ((b - a) / 400))
+        elo[w], elo[l] = a + 32 * (1 - e), b + 32 * (0 - (1 - e))
+        expected[tuple(r[k] for k in keys)] = (a, b)
+    for sizes in ({}, {"crowd": 5, "slice_rows": 250}):
+        got = surface_elo(again, **sizes).collect()
+        assert {tuple(r[k] for k in keys): (r.winner_surface_elo, r.loser_surface_elo) for r in got} == expected and len(got) == len(rows)

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from duelbook.functions.position import key_at
+from duelbook.functions.position import key_at, keys_at
 from duelbook.operators import features as feats
 from duelbook.operators import models, splits
 from duelbook.operators.history import history_view
@@ -34,6 +34,29 @@ def test_temporal_split_positions(random_matches, by):
             assert got[m, -t] == want
 
 
+def test_keys_of_several_groups_and_positions(spark):
+    """A group of one value in the first column, brackets that are shared, and sorted ends agree with plain sorting."""
+    rows = [("a", 5, m * 10**12) for m in range(300)] + [("b", d % 7 - 3, d) for d in range(200)] + [("c", 1, 1)] * 30 + [("c", 1, 2)] * 3
+    df = spark.createDataFrame(rows, "g string, d long, m long").repartition(4)
+    wanted = {"a": [0, 1, 150, 299], "b": [7, 99], "c": [0, 29, 30, 32]}
+    for small in (0, 3, 1000):
+        found = keys_at(df, ["d", "m"], wanted, "g", small=small, pieces=4)
+        for g, positions in wanted.items():
+            order = sorted(r[1:] for r in rows if r[0] == g)
+            assert {p: (found[g, p]["d"], found[g, p]["m"]) for p in positions} == {p: order[p] for p in positions}
+    assert keys_at(df, ["d", "m"], {"a": []}, "g") == {}
+
+
+def test_rows_without_a_date_come_last(random_matches):
+    rows = history_view(random_matches).withColumn("tourney_date", F.when(F.col("match_num") % 4 > 0, F.col("tourney_date")))
+    for by in (None, "target"):
+        got = splits.split_temporal(rows, by).collect()
+        sizes = Counter(r.set for r in got)
+        assert sizes == {"train": 1680, "validation": 360, "test": 360}
+        assert all(r.set != "train" for r in got if r.tourney_date is None)
+        assert {r.set for r in got if r.tourney_date is None} == {"validation", "test"}
+
+
 def test_random_split_sizes(random_matches):
     rows = history_view(random_matches).select("match_num", "target")
     sizes = Counter(r.set for r in splits.split_random(rows, ["match_num", "target"]).collect())
