@@ -21,13 +21,6 @@ def md5_number(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
 
 
-def _ranges(lo: int, hi: int, column: str, pieces: int):
-    """Equal ranges from ``lo`` to ``hi``: the width of one and the expression that numbers them."""
-    width = -(-(hi - lo + 1) // pieces)
-    # whole-number division: doubles are not exact beyond 53 bits
-    return width, F.expr(f"(`{column}` - {lo}L) div {width}L").alias("piece")
-
-
 def _holding(counts: list[tuple[int, int]], position: int) -> tuple[int, int, int]:
     """The range a position falls in, its position inside, and the rows of that range."""
     for piece, rows in sorted(counts):
@@ -37,30 +30,6 @@ def _holding(counts: list[tuple[int, int]], position: int) -> tuple[int, int, in
     raise IndexError(position)
 
 
-def key_at(df: DataFrame, order: list[str], position: int, rows: int | None = None, small: int = SMALL, pieces: int = PIECES):
-    """The ``order`` values of the row at a 0-based position, all of them whole numbers.
-
-    Each pass counts the rows in equal ranges of a column, combined before the shuffle, and goes on
-    inside the range that holds the position.  Only order columns are read, and a key that most
-    rows share hands over to the next column.  ``rows`` is the row count if known.
-    """
-    df = df.select(*order)
-    for column in order:
-        while rows is None or rows > small:
-            ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("n")).first()
-            rows = ends.n
-            if rows <= small or ends.lo == ends.hi:
-                break
-            width, piece = _ranges(ends.lo, ends.hi, column, pieces)
-            counts = [(r.piece, r["count"]) for r in df.groupBy(piece).count().collect()]
-            held, position, rows = _holding(counts, position)
-            first = ends.lo + held * width
-            df = df.where(F.col(column).between(first, first + width - 1))
-        if rows <= small:
-            break
-    return df.orderBy(*order).offset(position).first()
-
-
 def keys_at(df: DataFrame, order: list[str], wanted: dict[int, list[int]], group: str, small: int = SMALL, pieces: int = PIECES) -> dict:
     """The ``order`` values at 0-based positions within each group: ``{(group, position): row}``.
 
@@ -68,7 +37,7 @@ def keys_at(df: DataFrame, order: list[str], wanted: dict[int, list[int]], group
     settled and a range of the next one.  A pass narrows all brackets of all groups together, with two aggregates; brackets
     of few rows are sorted together at the end.
     """
-    open_ = [{"group": g, "position": p, "at": p, "fixed": {}, "column": 0, "lo": None, "hi": None, "rows": None} for g, ps in wanted.items() for p in ps]
+    open_ = [{"group": g, "position": p, "at": p, "fixed": {}, "column": 0, "lo": None, "hi": None} for g, ps in wanted.items() for p in ps]
     known: dict = {}
 
     def rows_of(bracket):
@@ -91,8 +60,11 @@ def keys_at(df: DataFrame, order: list[str], wanted: dict[int, list[int]], group
         ends = {r.bracket: r for r in near.groupBy("bracket").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.count("*").alias("n")).collect()}
         few, many = [], []
         for i, b in enumerate(distinct):
-            last = b["column"] == len(order) - 1
-            (few if ends[i].n <= small or (last and ends[i].lo == ends[i].hi) else many).append(i)
+            if b["column"] == len(order) - 1 and ends[i].lo == ends[i].hi:  # equal rows, however many
+                for own in list(same.values())[i]:
+                    known[own["group"], own["position"]] = b["fixed"] | {order[-1]: ends[i].lo}
+            else:
+                (few if ends[i].n <= small else many).append(i)
         if few:
             chosen = near.where(F.col("bracket").isin(few))
             place = F.row_number().over(Window.partitionBy("bracket").orderBy(*order)) - 1
@@ -124,6 +96,12 @@ def keys_at(df: DataFrame, order: list[str], wanted: dict[int, list[int]], group
     return known
 
 
+def key_at(df: DataFrame, order: list[str], position: int, small: int = SMALL, pieces: int = PIECES) -> tuple:
+    """The ``order`` values of the row at a 0-based position of a whole table."""
+    found = keys_at(df.select(F.lit(0).alias("_group"), *order), order, {0: [position]}, "_group", small, pieces)
+    return tuple(found[0, position][c] for c in order)
+
+
 def label_by_cuts(df: DataFrame, order: list[str], cuts, labels: list[str], by: str | None = None, name: str = "set") -> DataFrame:
     """Label rows by position: ``labels[i]`` up to the i-th cut, the last label beyond.
 

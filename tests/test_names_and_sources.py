@@ -27,6 +27,35 @@ def test_closest_name_is_difflibs(spark, cutoff):
         assert got.get(a) == (best[0] if best else None), a
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("cutoff", [0.51, 0.6, 0.75, 0.9])
+def test_closest_name_by_edits(spark, cutoff):
+    """Against every pair; few texts are left to compare."""
+    rng = random.Random(int(cutoff * 100))
+    parts = ["roger", "rafa", "nuno", "jo", "novak", "carlos", "anna", "maria", "iga", "li", "åsa", "o", "aaa"]
+    known = sorted({f"{rng.choice(parts)} {rng.choice(parts)}{rng.choice(['', 's', 'ez', 'aa'])}" for _ in range(250)} | {"a", "ab"})
+    noise = lambda n: "".join(rng.choice(["", c, c, c, c, c + rng.choice("aez ")]) for c in n)
+    asked = sorted({noise(n) for n in known} - {""} | {"zzz", "a", "aaaaaa"})
+    queries = spark.createDataFrame([(a,) for a in asked] + [(None,), ("",)], "query string")
+    table = spark.createDataFrame([(k,) for k in known] + [(None,), ("",), (known[0],)], "name string")
+    got = {r["query"]: (r["score"], r["name"]) for r in names.closest_name(queries, table, cutoff, "levenshtein").collect()}
+    for a in asked:
+        best = max((1 - distance(a, k) / max(len(a), len(k)), k) for k in known)
+        assert got.get(a) == (best if best[0] >= cutoff else None), a
+    pairs = [tuple(r) for r in names._near_candidates(queries, table, cutoff).collect()]
+    assert len(pairs) == len(set(pairs))
+    if cutoff >= 0.75:
+        assert len(pairs) <= 12 * len(asked)
+
+
 def test_aliases_take_one_hop(spark):
     aliases = spark.createDataFrame([("A", " B"), ("B", "A"), ("C", "A"), ("D", "D")], "old_name string, new_name string")
     df = spark.createDataFrame([(n,) for n in "ABCDE"], "n string")
