@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import stored
+from duelbook.llm.common import discard, stored
 
 
 def _mark(edges: DataFrame):
@@ -26,7 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        before = edges
         edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(before)
         if _mark(edges) == mark:
             break
         mark = _mark(edges)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import ROW, chunks, mix, numbered, shuffle_parts, stored, texts, worker_store
+from duelbook.llm.common import ROW, chunks, discard, mix, numbered, shuffle_parts, stored, texts, worker_store
 from duelbook.llm.components import components
 from duelbook.llm.packed import by_range, from_blob, key_range, to_blob
 
@@ -338,7 +338,10 @@ def parted(held: DataFrame, n: int, num: int, den: int, counts: np.ndarray | Non
     entries = keys.join(groups.hint("merge"), "key")
     tasks = in_blocks(spark, entries, "key", "m", batches).join(made.select(ROW, "n", "bits").hint("merge"), ROW)
     tasks = tasks.repartition(shuffle_parts(spark), "batch").groupBy("batch")
-    return components(tasks.applyInPandas(near_sketches(num, den), "a long, b long")).withColumnRenamed("node", ROW)
+    found = components(tasks.applyInPandas(near_sketches(num, den), "a long, b long")).withColumnRenamed("node", ROW)
+    discard(made)
+    discard(groups)
+    return found
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -418,12 +421,13 @@ def join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     spark = docs.sparkSession
     volume = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, volume // RANGE_BYTES)
-    made = stored(docs.mapInPandas(profiles(n, num, den, ranges), PROFILE), "profiles")
+    made = stored(docs.mapInPandas(profiles(n, num, den, ranges), PROFILE), "profiles", by=("kind",))
     each = made.where("kind = 0").select(ROW, "doc_id", "n", "hi", "lo")
     classes = each.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", ROW)).alias("first"), F.first("n").alias("n"))
     classes = stored(classes.select("hi", "lo", "n", "first", F.col(f"first.{ROW}").alias(ROW)), "classes")
     links = made.where("kind in (1, 2)").select("kind", "part", "blob").groupBy("part").applyInPandas(range_links, "a long, b long")
     clusters = components(links)
+    discard(made, "kind=1", "kind=2")
 
     members = classes.join(clusters.withColumnRenamed("node", "lo"), "lo").select(ROW, "component")
     members = stored(members, "members")
@@ -438,6 +442,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     tasks = tasks.union(in_blocks(spark, again, "component", "m", batches, "text"))
     tasks = tasks.repartition(shuffle_parts(spark), "batch").groupBy("batch")
     linked = stored(tasks.applyInPandas(product_links(n, num, den), "a long, b long, links long"), "similar")
+    discard(held)
 
     named = components(linked.where("a <> b").select("a", "b")).withColumnRenamed("node", ROW)
     degrees = linked.groupBy(F.col("a").alias(ROW)).agg(F.sum("links").alias("n_links"))
