@@ -21,10 +21,18 @@ UNEVEN = re.compile(rf"[{BLANK}][{BLANK}]|[^\S \n]|[\x85\0]|\A[{BLANK}]|[{BLANK}
 NOT_WHITE = re.compile(r"[\x1c-\x1f]")  # split() would cut there
 # A mark between a letter and a blank is a pre-token of its own. It is looked for by the mark, the rarest part.
 MARK = re.compile(r"([.,])(?=\s|\Z)(?<=[^\W\d_][.,])")
-# Words of plain letters are one pre-token that nothing changes but the byte-level blank: the model alone gives their ids.
-PLAIN = {"spaced": re.compile(" ?[A-Za-z]+"), "words": re.compile("[a-z]+")}
-BYTE_BLANK = "\u0120"
-TRIAL = 300  # made-up words on which that is tried before it is relied on
+# Words of plain letters are one pre-token that nothing changes but the signs for bytes: the model alone gives their ids.
+PLAIN = {"spaced": re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"), "words": re.compile("[a-z\xdf-\xf6\xf8-\xff]+")}
+TRIAL = 600  # made-up words on which that is tried before it is relied on
+
+
+def byte_sign(b: int) -> str:
+    """The sign of a byte in a byte-level vocabulary: printing Latin-1 itself, the others in order from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return chr(b if b in prints else 256 + b - sum(p < b for p in prints))
+
+
+SIGNS = {c: "".join(map(byte_sign, chr(c).encode())) for c in [32, *range(0xC0, 0x100)]}
 OTHER_CASE = re.compile("[\u0130\u0250-\U0010ffff]")  # letters that may lower otherwise than in the tokenizer
 MOST_KEPT = 1_200_000
 
@@ -47,7 +55,8 @@ class Encoder:
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.simple = self.tokenizer.model, PLAIN[kind]
-        trial = [("" if kind == "words" else " " * (i % 2)) + "".join(chr(97 + (i * i * 7 + 11 * j * (i + j)) % 26) for j in range(1 + i % 12)) for i in range(TRIAL)]
+        letters = [chr(c) for c in [*range(97, 123), *range(65, 91), *range(0xC0, 0x100)] if self.simple.fullmatch(chr(c))]
+        trial = [("" if kind == "words" else " " * (i % 2)) + "".join(letters[(i * i * 7 + 11 * j * (i + j)) % len(letters)] for j in range(1 + i % 12)) for i in range(TRIAL)]
         if self.ids_of(trial) != [e.ids for e in self.tokenizer.encode_batch(trial, add_special_tokens=False)]:
             self.simple = re.compile(r"(?!)")
         self.clear()
@@ -94,7 +103,7 @@ class Encoder:
     def ids_of(self, keys: list[str]) -> list[list[int]]:
         """The ids of each key by itself."""
         match, tokenize = self.simple.fullmatch, self.model.tokenize
-        found = [[t.id for t in tokenize(k.replace(" ", BYTE_BLANK))] if match(k) else None for k in keys]
+        found = [[t.id for t in tokenize(k.translate(SIGNS))] if match(k) else None for k in keys]
         rest = [i for i, f in enumerate(found) if f is None]
         for i, e in zip(rest, self.tokenizer.encode_batch([keys[i] for i in rest], add_special_tokens=False)):
             found[i] = e.ids
