@@ -117,9 +117,9 @@ def joined(found) -> str:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """For each row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores``.
+    """For each row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, scores``.
 
-    ``scores`` follows the order of ``spans``. A null text is empty and gives no spans; rows that repeat a doc_id are
+    ``n_spans`` counts the spans of all kinds, secrets included; ``scores`` follows the order of ``spans``. A null text is empty and gives no spans; rows that repeat a doc_id are
     each reported; an empty table gives no rows.
     """
 
@@ -131,9 +131,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 base = [s for s in found if s[0] in BASE]
                 counts = [sum(s[0] == kind for s in base) for kind in BASE]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                rows.append((doc, *counts, digest, joined(found), [s[3] for s in found]))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"])
+                rows.append((doc, *counts, digest, joined(found), len(found), [s[3] for s in found]))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "scores"])
             yield out.astype({"doc_id": "Int64"})
 
     return texts(docs).mapInPandas(
-        find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>")
+        find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, scores array<double>")
