@@ -35,6 +35,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of smallest doc_id of each group of equal texts, blanks apart; null counts as empty, no rows give none."""
     docs = fixed(tune(spark), docs)
     return without(docs, exact.mark_copies(docs).where("not kept"))
 
@@ -46,11 +47,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage of ``benchmark``, verbatim or with other numbers, names or units; null texts stay."""
     docs = fixed(tune(spark), docs)
     return without(docs, templates.find_items(docs, table(spark, sf_dir, "benchmark")).select(ROW).distinct())
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2,048 tokens; a null text is its end id alone, no rows give none."""
     return packing.pack(fixed(tune(spark), docs), vocabulary("word_bpe_49k.json"))
 
 
@@ -72,6 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again by the next."""
     docs = table(tune(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
