@@ -62,21 +62,20 @@ def remainder(column: str, n: int) -> Column:
 STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once to the shared folder and read back: lineage ends here, lost executors cost nothing."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.partitionBy(*by).parquet(path)
+    df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     STORED[back] = path
     return back
 
 
-def discard(table: DataFrame, *parts: str):
-    """Delete what ``stored`` wrote for a table that nothing will read again, or some of its partitions."""
-    context, path = table.sparkSession.sparkContext, STORED[table]
-    for part in parts or [""]:
-        where = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+def discard(table: DataFrame):
+    """Delete what ``stored`` wrote for a table that nothing will read again."""
+    context = table.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(STORED[table])
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
