@@ -263,3 +263,55 @@ def test_numbers_may_repeat_between_tournaments(spark, random_matches):
     for sizes in ({}, {"crowd": 5, "slice_rows": 250}):
         got = surface_elo(again, **sizes).collect()
         assert {tuple(r[k] for k in keys): (r.winner_surface_elo, r.loser_surface_elo) for r in got} == expected and len(got) == len(rows)
+
+
+def counted_rounds(monkeypatch, run):
+    from duelbook.operators import ratings
+
+    rounds = []
+    keep = ratings.Relay.keep
+    monkeypatch.setattr(ratings.Relay, "keep", lambda self, df: rounds.append("moved" in df.columns) or keep(self, df))
+    rows = run()
+    monkeypatch.undo()
+    return rows, sum(rounds)
+
+
+def test_a_slice_that_one_task_can_walk_takes_no_rounds(random_matches, monkeypatch):
+    """Contests of two players of one task are rated as they are; only ratings that travel between tasks need rounds."""
+    expected = walk(by_surface(random_matches), career=False)
+    for sizes, most in (({}, 0), ({"task_views": 60}, None)):
+        rows, rounds = counted_rounds(monkeypatch, lambda: surface_elo(random_matches, crowd=5, slice_rows=250, post=True, **sizes).where(
+            "surface is not null").collect())
+        assert len(rows) == len(expected) and (most is None or rounds <= most)
+        for r in rows:
+            assert (r.winner_surface_elo, r.loser_surface_elo, r.winner_elo_post, r.loser_elo_post) == expected[r.match_num]
+
+
+def test_components_start_from_few_links(spark):
+    """Many links between few players: a task hands on no more links than players, in any number of flushes."""
+    from duelbook.operators import graph
+
+    links = spark.range(20_000, numPartitions=4).select(
+        F.lit("x").alias("pool"), (F.col("id") % 50 * 2).alias("a"), (F.col("id") * 7 % 50 * 2).alias("b"))
+    links = links.unionByName(links.select("pool", (F.col("a") + 1).alias("a"), (F.col("b") + 1).alias("b"))).where("a <> b")
+    assert graph._forest(links, ["pool"]).count() <= 4 * 2 * 100
+    assert {(r.node, r.component) for r in graph.components(links, ["pool"]).where("node > 1").collect()} == {
+        (r.node, r.component) for r in graph.components(links.distinct(), ["pool"]).where("node > 1").collect()}
+    flushed = graph._forest(links, ["pool"], most=100)
+    assert {(r.node, r.component) for r in graph.components(flushed, ["pool"]).collect()} == {
+        (r.node, r.component) for r in graph.components(links, ["pool"]).collect()}
+
+
+def test_no_task_meets_all_contests_of_a_pool(spark, random_matches):
+    """The contests of one large pool are not brought together by the number of their slice."""
+    from duelbook.operators import ratings
+
+    bouts = random_matches.select(
+        F.col("tour").alias("pool"), F.col("tourney_date").alias("d"), F.lit(0).cast("long").alias("r"), F.col("match_num").alias("m"),
+        F.col("winner_id").alias("w"), F.col("loser_id").alias("l"))
+    sizes = spark.createDataFrame([("ATP", 100)], "pool string, slice_rows int")
+    dates = ratings._dates(bouts, sizes)
+    plan = ratings._cut(bouts, dates)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    numbers = [r.slice for r in dates.select("slice").distinct().orderBy("slice").collect()]
+    assert len(numbers) > 2 and ratings._cut(bouts, dates).count() == 1200
