@@ -244,3 +244,19 @@ def test_whitening_query(spark):
     assert dict(found.dtypes)["deviation"] == "bigint"
     rows = found.collect()
     assert len(rows) == 4 * len({r["vec_id"] for r in rows}) and rows[0]["identity_error"] < 1e-9
+
+
+def test_small_branches_like_each_other_merge(spark):
+    """Branches unlike the host's largest are compared with each other too, and a chain is followed to its last."""
+    from duelbook.llm.urls import merge_branches
+
+    spreads = {"a": {"/x": 100}, "b": {"/y": 60}, "c": {"/y": 50}, "d": {"/y": 25, "/z": 6}, "e": {"/z": 9}, "f": {"/x": 1, "/y": 1}}
+    rows = [("h", branch, child, n, 0, 0) for branch, children in spreads.items() for child, n in children.items()]
+    rows += [("i", "b", "/y", 4, 4, 4), ("i", "c", "/y", 3, 0, 3), ("i", "d", "/y", 2, 2, 2)]
+    tree = spark.createDataFrame(rows, "host string, branch string, child string, n long, blocked long, labels long")
+    found = {(r.host, r.branch): r.merged for r in merge_branches(tree).collect()}
+    assert found == {("h", "a"): "a", ("h", "b"): "b", ("h", "c"): "b", ("h", "d"): "b", ("h", "e"): "e", ("h", "f"): "f",
+                     ("i", "b"): "b", ("i", "c"): "c", ("i", "d"): "b"}
+    assert {(r.host, r.branch): r.merged for r in merge_branches(tree, every=False).collect()} == {
+        (h, b): "b" if (h, b) == ("i", "d") else b for h, b in found}
+    assert merge_branches(tree.where("false")).count() == 0
