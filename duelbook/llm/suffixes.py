@@ -30,7 +30,7 @@ GRAM = 32
 BUCKET_BITS = 11  # documents of one bucket share the row number above these bits
 RANGE_BYTES = 24_000_000
 HOT = 20_000  # contexts of one minimizer in one part
-BLOCK_BYTES = 3_000_000  # contexts sorted at once
+BLOCK_BYTES = 1_000_000  # contexts sorted at once; sorting takes about 60 times that
 LONGEST = 4_096  # starts of one context
 SEPARATOR = 0xFF  # no byte of UTF-8
 TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -256,11 +256,8 @@ def in_order(frame: pd.DataFrame) -> pd.DataFrame:
         ["order", ROW], ignore_index=True)
 
 
-def distinct(keys, salts, orders, rows, starts, sizes, contexts):
-    """First place of each distinct context, and the repeats ``(row, first start, starts)`` of all others.
-
-    Entries come in document order.
-    """
+def distinct(keys, salts, contexts):
+    """Positions of the first of each distinct context, and of all others; entries come in document order."""
     seen, keep, again = set(), [], []
     for i, c in enumerate(contexts):
         mark = (keys[i], salts[i], c)
@@ -311,7 +308,7 @@ def contexts_of(ranges: int, length: int, gram: int):
         if not contexts:
             return pd.DataFrame({"kind": [], "part": [], "blob": []})
         keys, salts, orders, rows, starts, sizes = map(np.concatenate, (keys, salts, orders, rows, starts, sizes))
-        keep, again = distinct(keys.tolist(), salts.tolist(), orders, rows, starts, sizes, contexts)
+        keep, again = distinct(keys.tolist(), salts.tolist(), contexts)
         out = list(marks_out(rows[again], starts[again], sizes[again]))
         part = key_range(mix(keys[keep] + salts[keep].astype(np.uint64)), ranges)
         for p in np.unique(part):
@@ -329,28 +326,26 @@ def sorted_parts(ranges: int, length: int):
     def run(frame):
         parts = [from_blob(b) for b in frame["blob"]]
         keys, salts, orders, rows, starts, sizes = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        text = b"".join(p[6].tobytes() for p in parts)
+        text = b"".join([p[6].tobytes() for p in parts])
+        del parts
         ends = (sizes + length - 1).cumsum()
-        contexts = [text[b - m - length + 1 : b] for b, m in zip(ends.tolist(), sizes.tolist())]
-        by = np.lexsort((starts, rows, orders))
-        keys, salts, orders, rows, starts, sizes = (x[by] for x in (keys, salts, orders, rows, starts, sizes))
-        contexts = [contexts[i] for i in by]
-        keep, again = distinct(keys.tolist(), salts.tolist(), orders, rows, starts, sizes, contexts)
-        out = list(marks_out(rows[again], starts[again], sizes[again]))
-        # Blocks hold whole minimizers; inside a block contexts stand in document order.
-        by = keep[np.lexsort((np.arange(len(keep)), salts[keep], keys[keep]))]
+        # Blocks hold whole minimizers, and only one block's contexts are taken out of the text at a time.
+        by = np.lexsort((salts, keys))
         new = np.append(True, (keys[by][1:] != keys[by][:-1]) | (salts[by][1:] != salts[by][:-1]))
         volume = (sizes[by] + length).cumsum()
-        group = new.cumsum() - 1
-        block = (volume[np.flatnonzero(new)] // BLOCK_BYTES)[group]
-        marked, met = [], []
-        for b in np.unique(block):
-            own = np.sort(by[block == b])
-            (of, offset, n), (first_of, first_offset) = repeats([contexts[i] for i in own], length)
+        block = (volume[np.flatnonzero(new)] // BLOCK_BYTES)[new.cumsum() - 1]
+        out, marked, met = [], [], []
+        for own in np.split(by, np.flatnonzero(np.diff(block)) + 1):
+            own = own[np.lexsort((starts[own], rows[own], orders[own]))]  # document order
+            contexts = [text[e - m - length + 1 : e] for e, m in zip(ends[own].tolist(), sizes[own].tolist())]
+            keep, again = distinct(keys[own].tolist(), salts[own].tolist(), contexts)
+            marked.append((rows[own[again]], starts[own[again]], sizes[own[again]]))
+            own, contexts = own[keep], [contexts[i] for i in keep]
+            (of, offset, n), (first_of, first_offset) = repeats(contexts, length)
             marked.append((rows[own[of]], starts[own[of]] + offset, n))
-            for i, o in zip(own[first_of], first_offset):
-                if salts[i]:
-                    met.append((hashlib.blake2b(contexts[i][o : o + length], digest_size=16).digest(), i, o))
+            dealt = salts[own[first_of]] > 0
+            for i, o in zip(first_of[dealt].tolist(), first_offset[dealt].tolist()):
+                met.append((hashlib.blake2b(contexts[i][o : o + length], digest_size=16).digest(), own[i], o))
         if marked:
             out += marks_out(*(np.concatenate([m[i] for m in marked]) for i in range(3)))
         if met:

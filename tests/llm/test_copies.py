@@ -4,12 +4,16 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 
 from duelbook.llm import exact, jaccard, suffixes
+from duelbook.llm.common import ROW
 from duelbook.llm.components import components
+from duelbook.llm.packed import from_blob, to_blob
 
 
 def same(frame, rows):
@@ -86,6 +90,29 @@ def test_minimizers_dealt_over_parts(spark, monkeypatch, tmp_path):
     same(suffixes.remove_repeats(spark.read.parquet(str(tmp_path / "d"))), brute_repeats(rows))
 
 
+def test_contexts_are_sorted_in_little_memory():
+    rng = np.random.default_rng(8)
+    base = [rng.integers(97, 101, 100_000).astype(np.uint8).tobytes().decode() for _ in range(12)]
+    blobs = []
+    for bucket in range(2):
+        docs = [((bucket << suffixes.BUCKET_BITS) + i, bucket * 12 + i, text) for i, text in enumerate(base)]
+        frame = pd.DataFrame(docs, columns=[ROW, "doc_id", "text"])
+        keys = np.unique(np.concatenate([suffixes.minimizers(suffixes.raw_text(t)) for t in base]))
+        told = pd.DataFrame({"blob": [to_blob(keys, np.full(len(keys), 2, np.uint64))]})
+        sent = suffixes.contexts_of(1, 100, 32)(frame, told)
+        blobs.append(sent[sent["kind"] == 0])
+    frame = pd.concat(blobs)
+    assert sum(from_blob(b)[6].nbytes for b in frame["blob"]) > 9_000_000
+    tracemalloc.start()
+    found = suffixes.sorted_parts(1, 100)(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The second copy of each text goes but for the places before its first whole string.
+    marks = [from_blob(b) for b in found["blob"][found["kind"] == 1]]
+    assert set(np.concatenate([m[0] for m in marks]) >> suffixes.BUCKET_BITS) == {1}
+    assert peak < 100_000_000
+
+
 def brute_links(plain, n, num, den):
     sets = []
     for _, text in plain:
