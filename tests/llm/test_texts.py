@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -12,7 +13,7 @@ import pytest
 
 from duelbook.llm import language, packing, pii, queries, templates, token_files, toxicity, urls
 from duelbook.llm.common import remainder, table
-from duelbook.llm.encode import Encoder
+from duelbook.llm.encode import BLANK, Encoder, uneven
 from duelbook.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.01"
@@ -36,6 +37,25 @@ def test_ids_are_the_tokenizers(name, kind):
     assert [ids.tolist() for ids in Encoder(vocabulary(name), kind).encode(texts)] == expected
 
 
+def test_uneven_blanks():
+    pattern = re.compile(rf"[{BLANK}][{BLANK}]|[^\S \n]|[\x85\0]|\A[{BLANK}]|[{BLANK}]\Z")
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    tricky = ["", " ", "\n", "a", "a b", "a\nb", "a \nb", "a\n b", "a  b", "a\n\nb", " a", "a ", "\na", "a\n", "a\0b", "é b", "日 本\nb"]
+    tricky += [f"{a}{c}{b}" for c in blanks for a, b in (("a", "b"), ("", "b"), ("a", ""), ("日", "é"))]
+    for text in tricky:
+        assert uneven(text) == bool(pattern.search(text)), repr(text)
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "é", "日", " ", "\n", "ab", "c.", rng.choice(blanks)] if rng.random() < 0.1 else ["a", "b,", "é"]) for _ in range(rng.randrange(12)))
+        assert uneven(text) == bool(pattern.search(text)), repr(text)
+    text, times = "word other " * 100_000 + "end", []
+    for find in (uneven, pattern.search):
+        began = time.process_time()
+        assert not find(text)
+        times.append(time.process_time() - began)
+    assert times[0] < times[1] / 2
+
+
 def test_windows_are_full_and_within_capacity():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 300, 1500):
