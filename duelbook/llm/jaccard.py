@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import ROW, chunks, discard, mix, numbered, shuffle_parts, stored, texts, worker_store
+from duelbook.llm.common import ROW, chunks, discard, free_shuffles, mix, numbered, shuffle_parts, stored, texts, worker_store
 from duelbook.llm.components import components
 from duelbook.llm.packed import by_range, from_blob, key_range, to_blob
 
@@ -39,7 +39,8 @@ BLOCK = 512  # documents on one side of a product
 COLUMNS = 8_192  # n-grams of one product
 BATCH = 1_000  # documents of small clusters in one task
 ENTRIES = 20_000  # members of signature groups in one task
-PAIR_BYTES = 32_000_000  # sketches of the pairs compared at once
+SORTED = 250_000  # signatures of a range sorted at once
+PAIR_BYTES = 8_000_000  # sketches of the pairs compared at once; several copies are in memory
 CELLS = 1 << 20  # counters of n-grams; their sum is the one thing sent to every task, 4 MB at any input size
 CELL_PARTS = 64  # parts in which tasks' counters are added up
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -200,16 +201,33 @@ def rare_first(h: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndar
     return h[order[: len(h) - -(-num * len(h) // den) + 1]]
 
 
+def slices(found: list[list[np.ndarray]], most: int):
+    """``(key, set)`` entries of tables sorted by key, together by equal spans of the keys: of about ``most`` where keys are hashes."""
+    found = [f for f in found if len(f[0])]
+    if not found:
+        return
+    low, high = min(int(f[0][0]) for f in found), max(int(f[0][-1]) for f in found)
+    spans = -(-sum(len(f[0]) for f in found) // most)
+    edges = np.array([low + (high - low) * i // spans for i in range(1, spans)], np.uint64)
+    cuts = [[0, *np.searchsorted(f[0], edges).tolist(), len(f[0])] for f in found]
+    for i in range(spans):
+        yield tuple(np.concatenate([f[j][c[i] : c[i + 1]] for f, c in zip(found, cuts)]) for j in (0, 1))
+
+
 def range_links(frame: pd.DataFrame) -> pd.DataFrame:
     """Links of sets that share a signature of one range, to the least of them; links found before pass through."""
     found = [from_blob(b) for b in frame["blob"][frame["kind"] == 1]]
     passed = [from_blob(b) for b in frame["blob"][frame["kind"] == 2]]
-    none = np.empty(0, np.uint64)
-    a, b = (np.concatenate([p[i] for p in passed]) if passed else none for i in (0, 1))
-    if found:
-        keys, sets = tidy(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-        _, c, d = stars(keys, sets)
-        a, b = np.append(a, c), np.append(b, d)
+    starts, ends = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for p in passed:
+        starts.append(p[0])
+        ends.append(p[1])
+    for keys, sets in slices(found, SORTED):
+        _, c, d = stars(*tidy(keys, sets))
+        c, d = tidy_links(c, d)
+        starts.append(c)
+        ends.append(d)
+    a, b = np.concatenate(starts), np.concatenate(ends)
     a, b = tidy_links(a, b)
     return pd.DataFrame({"a": a.view(np.int64) if len(a) else a.astype(np.int64), "b": np.ascontiguousarray(b).view(np.int64) if len(b) else b.astype(np.int64)})
 
@@ -417,6 +435,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     with nothing. ``component_id`` is the smallest doc_id reachable (a null is smallest) and ``first_row`` that row's
     number; ``n_links`` counts linked texts with another set. An empty table gives no rows.
     """
+    free_shuffles(docs.sparkSession)
     docs = numbered(texts(docs))
     spark = docs.sparkSession
     volume = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0

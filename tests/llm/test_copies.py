@@ -158,6 +158,35 @@ def test_jaccard_of_a_large_cluster(spark, monkeypatch, tmp_path):
         same(found.select("doc_id", "n_shingles", "component_id"), brute_links(rows, n, num, den))
 
 
+def test_links_of_a_range_in_little_memory():
+    rng = np.random.default_rng(12)
+    pool, blobs, links = rng.integers(0, 1 << 63, 1000, dtype=np.uint64), [], {}
+    for _ in range(6):
+        keys = np.append(rng.integers(0, 1 << 63, 199_000, dtype=np.uint64), rng.choice(pool, 1000))
+        keys[:50] = pool[0]  # a key of many sets
+        keys, sets = jaccard.tidy(keys, rng.integers(0, 1 << 63, 200_000, dtype=np.uint64))
+        blobs.append((1, to_blob(keys, sets)))
+        for k, s in zip(keys.tolist(), sets.tolist()):
+            links.setdefault(k, set()).add(s)
+    blobs.append((2, to_blob(np.array([9], np.uint64), np.array([4], np.uint64))))
+    expected = {(s, min(own)) for own in links.values() for s in own if s != min(own)} | {(9, 4)}
+    frame = pd.DataFrame(blobs, columns=["kind", "blob"])
+    tracemalloc.start()
+    found = jaccard.range_links(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(zip(found["a"].tolist(), found["b"].tolist())) == expected
+    assert peak < 60_000_000
+
+
+def test_no_shuffle_file_outlives_its_action(spark, edges):
+    jaccard.join(edges).collect()
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().toString().count("shuffle_")
+    before = shuffles()
+    jaccard.join(edges, 5, 8, 10).collect()
+    assert shuffles() <= before
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(4)
     for _ in range(1500):
